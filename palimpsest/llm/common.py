@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,4 +91,35 @@ def shingles(h: np.ndarray, n: int = 2) -> np.ndarray:
     acc = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
         acc = mix(acc * np.uint64(0x9E3779B97F4A7C15) + h[i : len(h) - size + 1 + i])
-    return np.unique(acc)
+    return np.unique(acc >> np.uint64(1))
+
+
+def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
+    """A text column as UTF-8 bytes."""
+    return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()
+
+
+def lists(arrays: list[np.ndarray], kind: pa.DataType) -> pa.Array:
+    """A list column from one array per row."""
+    ends = np.zeros(len(arrays) + 1, np.int32)
+    np.cumsum([len(a) for a in arrays], out=ends[1:])
+    flat = np.concatenate(arrays) if arrays else np.empty(0)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, kind))
+
+
+def components(edges: DataFrame) -> DataFrame:
+    """node, label of every node of edges (a, b longs): label is the smallest node reachable.
+
+    Each round takes the smallest label among neighbours, then jumps to that label's own; stars end in two rounds, paths
+    in about log2 of their length. All of it stays in tables: nothing comes to the driver but a count.
+    """
+    both = save(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
+    labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "cc-labels")
+    while True:
+        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
+        step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
+        new = save(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "cc-labels")
+        if new.where("old <> label").isEmpty():
+            return labels
+        labels = new.drop("old")
