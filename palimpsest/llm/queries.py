@@ -6,10 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, minhash, mixing, packing
+from palimpsest.llm import chat, hmm, minhash, mixing, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
+    "op2_hmm": hmm.op2_hmm,
     "op3_packing": packing.op3_packing,
     "op5_mixing": mixing.op5_mixing,
     "op10_chat": chat.op10_chat,
