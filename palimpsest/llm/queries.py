@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, hmm, minhash, mixing, packing
+from palimpsest.llm import chat, hmm, minhash, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
     "op2_hmm": hmm.op2_hmm,
     "op3_packing": packing.op3_packing,
+    "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op7_quality": quality.op7_quality,
     "op10_chat": chat.op10_chat,
 }
 
