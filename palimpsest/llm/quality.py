@@ -60,7 +60,7 @@ def measures(text: bytes) -> np.ndarray:
         signs, calls, digits = len(rest) - len(rest.translate(None, MARKS)), len(rest) - len(rest.translate(None, CALLS)), len(rest) - len(rest.translate(None, DIGITS))
         upper = len(line) - len(line.translate(None, UPPER))
         distinct, again = len(set(words)), sum(map(operator.eq, words, words[1:]))
-        common = max(Counter(words).values()) if distinct < 0.6 * k else 1
+        common = max(Counter(words).values()) if words and distinct < 0.6 * k else 1
         other = len(rest.translate(None, b" \t\r")) - signs - calls - digits
         out.append((len(line), len(words), upper / n, digits / n, signs / n, calls / n, other / n, distinct / k, again / k, (n - k) / k, copies[line], line[-1:] in b".!?:;", common / k if k > 3 else 0))
     return np.array(out, float)
