@@ -9,8 +9,8 @@
    runs still meet (the prefix principle), and lists of common passages stay unused.
 4. Pairs from the lists pass a size test, then the union-sketch estimate, then the exact test on whole sets.
 5. Only what decides components is tested: each class first against the best-connected class that it meets most often,
-   then members of the same list that are still in different components. Long lists name one leader a round; after
-   LEADER_ROUNDS all pairs between different components of what is left are tested, so no list is cut short.
+   then against a few random leaders of its lists that are still in other components; at last all pairs of different
+   components that meet in a list, so no list is cut short.
 """
 
 from __future__ import annotations
@@ -23,12 +23,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, components, lists, save, shingles, spread, table
+from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, spread, table
 
 #: Sketch size, length of runs, runs that a pair is sure enough to share, slack of the estimate (five deviations).
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
-#: Members of a list up to which its open pairs are tested at once, and leader rounds for longer ones.
-SMALL_LIST, LEADER_ROUNDS = 32, 4
+#: Turns of which the last tests all open pairs, and leaders that a class is tested against in each one before.
+TURNS, CHOICES = 3, 4
 #: Ids up to which the filter for texts to verify is broadcast; beyond, a shuffled semi-join.
 BROADCAST_IDS = 1_000_000
 
@@ -59,11 +59,25 @@ def _full(words: int):
     return run
 
 
-def _run_keys(run: int) -> Column:
-    """Hashes of the runs of a sketch; for the smallest sets, of which pairs may share but two neighbours, also runs of two."""
-    of = lambda r: F.transform(F.sequence(F.lit(0), F.size("sketch") - r), lambda i: F.xxhash64(F.lit(r), *[F.get("sketch", i + j) for j in range(r)]))
-    none = F.array().cast("array<long>")
-    return F.concat(F.when(F.size("sketch") >= run, of(run)).otherwise(none), F.when(F.size("sketch").between(2, 5), of(2)).otherwise(none))
+def _runs(run: int):
+    """rep, n, k, key for each run of a sketch, k being their number; for the smallest sets, of which pairs may share but two neighbours, also for runs of two."""
+
+    def keys(s: np.ndarray) -> np.ndarray:
+        s = s.astype(np.uint64)
+        out = [shingles(s, run)] if len(s) >= run else []
+        if 2 <= len(s) <= 5:
+            out.append(mix(shingles(s, 2)) >> np.uint64(1))
+        return np.concatenate(out).astype(np.int64) if out else np.empty(0, np.int64)
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            col = b.column(2)
+            ends, flat = col.offsets.to_numpy(), col.values.to_numpy()
+            each = [keys(flat[i:j]) for i, j in zip(ends[:-1], ends[1:], strict=True)]
+            k = np.array([len(x) for x in each], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(b.column(0).to_numpy(), k)), pa.array(np.repeat(b.column(1).to_numpy(), k)), pa.array(np.repeat(k, k)), pa.array(np.concatenate([*each, np.empty(0, np.int64)]))], ["rep", "n", "k", "key"])
+
+    return rows
 
 
 def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -80,13 +94,12 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     same = own.join(twice.select("doc_id", "a"), "doc_id").where("rep > a").select("a", F.col("rep").alias("b")).distinct()
     sketches = save(own.where("doc_id = rep").select("rep", "n", "sketch").dropDuplicates(["rep", "n"]), "minhash-representatives")
 
-    runs = sketches.select("rep", "n", F.size(_run_keys(RUN)).alias("k"), F.explode(_run_keys(RUN)).alias("key"))
-    runs = save(runs, "minhash-runs")
+    runs = save(sketches.select("rep", "n", "sketch").mapInArrow(_runs(RUN), "rep long, n long, k long, key long"), "minhash-runs")
     often = runs.groupBy("key").agg(F.count("*").alias("df")).where("df > 1")
     # for whole sets of n shingles a pair shares 0.4 n - 2 runs at least
     sure = F.greatest(F.lit(1), F.least(F.lit(SHARED), F.floor(F.col("n") * 0.4 - 2).cast("int")))
     mine = runs.join(often, "key").groupBy("rep", "n", "k").agg(F.array_sort(F.collect_list(F.struct("df", "key"))).alias("by_df"))
-    mine = mine.withColumn("use", F.col("k") - sure + 1 - (F.col("k") - F.size("by_df"))).where("use > 0")
+    mine = mine.withColumn("use", (F.col("k") - sure + 1 - (F.col("k") - F.size("by_df"))).cast("int")).where("use > 0")
     post = mine.select("rep", "n", F.size("by_df").alias("met"), F.explode(F.slice("by_df", F.lit(1), F.col("use"))).alias("x")).select("x.key", "rep", "n", "met")
     post = save(post, "minhash-lists")
 
@@ -99,34 +112,57 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     pairs = first.select(F.least("rep", -F.col("m.l")).alias("a"), F.greatest("rep", -F.col("m.l")).alias("b")).distinct()
     tested = save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
 
-    led = None
-    for turn in range(LEADER_ROUNDS + 1):
+    for turn in range(1, TURNS + 1):
         labels = components(tested.where("linked").select("a", "b"))
-        p = post.join(labels, post["rep"] == labels["node"], "left").select("key", "rep", "n", "met", F.coalesce("label", "rep").alias("label"))
-        p = save(p, "minhash-open")
-        open_ = p.groupBy("key").agg(F.count("*").alias("members"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key", "members")
-        p = save(p.join(open_, "key"), "minhash-open-lists")
+        p = save(post.join(labels, post["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labels")
+        mixed = p.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
+        p = save(p.join(save(mixed, "minhash-mixed"), "key"), "minhash-open")
         if p.isEmpty():
             break
-        all_of = p if turn == LEADER_ROUNDS else p.where(F.col("members") <= SMALL_LIST)
-        x, y = all_of.alias("x"), all_of.alias("y")
-        cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n")
-        pairs = x.join(y, cross).select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
-        if turn < LEADER_ROUNDS:
-            long_ = p.where(F.col("members") > SMALL_LIST)
-            free = long_ if led is None else long_.join(led, ["key", "rep"], "left_anti")
-            best = F.max(F.struct("met", (-F.col("rep")).alias("r"), "n", "label"))
-            lead = save(free.groupBy("key").agg(best.alias("lead")).select("key", (-F.col("lead.r")).alias("leader"), F.col("lead.n").alias("leader_n"), F.col("lead.label").alias("leader_label")), "minhash-leaders")
-            star = long_.join(lead, "key").where((F.col("label") != F.col("leader_label")) & near("n", "leader_n"))
-            pairs = pairs.unionAll(star.select(F.least("rep", "leader").alias("a"), F.greatest("rep", "leader").alias("b")))
-            now = lead.select("key", F.col("leader").alias("rep"))
-            led = now if led is None else led.unionAll(now)
+        pairs = _some(p, turn, near) if turn < TURNS else _every(p, labels, sketches, near)
         pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        tested = tested.unionByName(_verify(pairs, sketches, docs, words, percent))
-        tested = save(tested, "minhash-tested")
+        tested = save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
     return rows, classes, tested.where("linked").select("a", "b")
 
 
+def _ends(x: str, y: str) -> list[Column]:
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+
+
+def _some(p: DataFrame, turn: int, near) -> DataFrame:
+    """For each class, leaders of its lists that are in other components, those of most of its lists first."""
+    chance = F.xxhash64("key", "rep", F.lit(turn))
+    lead = p.groupBy("key").agg(F.max(F.struct(chance.alias("h"), "rep", "n", "label")).alias("l")).select("key", F.col("l.rep").alias("leader"), F.col("l.n").alias("m"), F.col("l.label").alias("other"))
+    star = p.join(save(lead, "minhash-leaders"), "key").where((F.col("label") != F.col("other")) & near("n", "m"))
+    star = star.groupBy("rep", "leader").agg((-F.count("*")).alias("c")).withColumn("h", F.xxhash64("rep", "leader"))
+    few = star.groupBy("rep").agg(F.slice(F.array_sort(F.collect_list(F.struct("c", "h", "leader"))), 1, CHOICES).alias("few"))
+    return few.select("rep", F.explode("few.leader").alias("leader")).select(*_ends("rep", "leader"))
+
+
+def _every(p: DataFrame, labels: DataFrame, sketches: DataFrame, near) -> DataFrame:
+    """All pairs of different components that meet in a list.
+
+    Pairs with a list's main component are enumerated along the lists, or along the component where that is less (a
+    class that meets it in many lists would give each pair many times). The rest is enumerated along the lists.
+    """
+    size = p.groupBy("key", "label").agg(F.count("*").alias("here"))
+    main = save(size.groupBy("key").agg(F.max(F.struct("here", "label")).alias("m")).select("key", F.col("m.label").alias("main"), F.col("m.here").alias("here")), "minhash-main")
+    q = save(p.join(main, "key"), "minhash-outside")
+    out = q.where("label <> main")
+    x, y = out.alias("x"), out.alias("y")
+    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n")
+    pairs = x.join(y, cross).select(*_ends("x.rep", "y.rep"))
+    full = labels.groupBy("label").agg(F.count("*").alias("size")).withColumnRenamed("label", "main")
+    cost = out.groupBy("rep", "n", "main").agg(F.sum("here").alias("along")).join(full, "main", "left").na.fill(1, ["size"])
+    cost = save(cost.withColumn("by_list", F.col("along") <= F.col("size")), "minhash-cost")
+    whole = cost.where("not by_list").select("rep", "n", "main")
+    members = labels.join(sketches.select(F.col("rep").alias("node"), F.col("n").alias("m")), "node").select(F.col("label").alias("main"), "node", "m")
+    pairs = pairs.unionAll(members.join(whole, "main").where(near("n", "m")).select(*_ends("rep", "node")))
+    some = out.join(cost.where("by_list").select("rep", "main"), ["rep", "main"]).select("key", "rep", "n")
+    of_main = q.where("label = main").select("key", F.col("rep").alias("node"), F.col("n").alias("m"))
+    return pairs.unionAll(of_main.join(some, "key").where(near("n", "m")).select(*_ends("rep", "node")))
+
+
 def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
     """pairs (a, b) with `linked`, after the union-sketch estimate and the exact test on whole sets."""
     a, b = sketches.select(F.col("rep").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a")), sketches.select(F.col("rep").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
