@@ -1,9 +1,50 @@
-"""A training-corpus pipeline over `documents`."""
+"""A training corpus from `documents`: good documents, none toxic, one of each group of near copies, mixed and packed.
 
-STAGES = []
+Every stage works on what its predecessor kept and returns the columns of `documents`; the last returns packed pieces.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from palimpsest.llm import minhash, mixing, packing, quality, toxicity
+from palimpsest.llm.common import id_crc, save, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that the line model calls good."""
+    return quality.keep(docs, table(spark, sf_dir, "labels"), id_crc("doc_id", 3) == 1)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the documents that, deobfuscated, aren't called toxic."""
+    return toxicity.keep(docs, table(spark, sf_dir, "labels"), id_crc("doc_id", 5) == 0)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the smallest doc_id of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    return minhash.keep_one(docs)
+
+
+def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each document as often as the mix of sources takes it."""
+    return mixing.take(docs)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of sequences of 4096 tokens; a document that is taken twice is packed twice."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", one_of_each), ("mixing", to_weights), ("packing", packed)]
+
+#: The classifiers, sketches and tokens of the stages have no SQL; the tests hold each against a brute-force version.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = save(stage(spark, docs, sf_dir), f"pipeline-{name}")
     return docs

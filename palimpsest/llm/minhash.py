@@ -201,5 +201,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs that near_duplicates keeps, one for each group, with all their columns; rows of a null id stay."""
+    found = save(near_duplicates(docs, words, percent).select(F.col("doc_id").alias("d_id"), "kept"), "minhash-kept")
+    gone = found.where("not kept").select("d_id").distinct()
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
+    twice = found.where("kept and d_id is not null").groupBy("d_id").count().where("count > 1")
+    if not twice.isEmpty():
+        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
+    return docs.join(few, F.col("doc_id").cast("long") == F.col("d_id"), "left_anti")
+
+
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)

@@ -43,8 +43,8 @@ def random_unit(col: Column) -> Column:
     return (h + 0.5) / F.lit(float(1 << 48))
 
 
-def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
-    """doc_id, size, source_size, target, taken, source, copies for every row of docs (doc_id, text, source).
+def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHTS, copies: int = COPIES) -> DataFrame:
+    """doc_id, size, source_size, target, taken, source, copies, tie (hash of the text) for every row of docs (doc_id, text, source).
 
     A null or empty text has size 0 and takes 0 words. A null source is a source, the last. Repeated rows are ranked
     each (ties by id, size, row hash). Other columns are ignored; an empty table gives none.
@@ -72,10 +72,34 @@ def mix(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIGHT
     edge = edge.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("in"), F.col("run"))).over(group), F.col("before"))).withColumn("last", F.coalesce(F.max(F.when(F.col("in"), F.col("nth"))).over(group), F.lit(0)))
     near = F.when(~F.col("in") & (F.col("nth") <= F.col("last") + LOOK_AHEAD) & (F.abs(F.col("gap") - F.col("size")) < F.col("gap")), F.struct(F.abs(F.col("gap") - F.col("size")).alias("off"), F.col("nth").alias("nth")))
     edge = edge.withColumn("best", F.min(near).over(group)["nth"]).withColumn("one", (F.col("in") | (F.coalesce(F.col("nth") == F.col("best"), F.lit(False)))).cast("int"))
-    keep = ["doc_id", "size", "source_size", "target", "source"]
+    keep = ["doc_id", "size", "source_size", "target", "source", "tie"]
     extra = lambda one: [*keep, (F.col("whole") + one).cast("int").alias("copies")]
     rest = rows.where("edge is null or not edge").select(*extra(F.coalesce(F.col("fits").cast("int"), F.lit(0))))
-    return rest.unionAll(edge.select(*extra(F.col("one")))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
+    return rest.unionAll(edge.select(*extra(F.col("one")))).select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies", "tie")
+
+
+def mix(docs: DataFrame, **how) -> DataFrame:
+    """What mixed() returns, without the hashes of texts."""
+    return mixed(docs, **how).drop("tie")
+
+
+#: Rows of the table of copies up to which it is broadcast to the documents; beyond, a shuffled join.
+BROADCAST_ROWS = 1_000_000
+
+
+def take(docs: DataFrame, **how) -> DataFrame:
+    """The documents of the mix, each row as often as it is taken, with all columns of docs.
+
+    Rows that agree in id, text and source are taken as one whose copies are summed.
+    """
+    per = mixed(docs, **how).groupBy("doc_id", "tie", "source").agg(F.sum("copies").alias("m_copies"), F.count("*").alias("m_rows"))
+    per = save(per.select(F.col("doc_id").alias("m_id"), F.col("tie").alias("m_tie"), F.col("source").alias("m_source"), "m_copies", "m_rows"), "mixing-copies")
+    if not per.where("m_rows > 1").isEmpty():
+        docs = docs.dropDuplicates(["doc_id", "text", "source"])
+    few = per.where("m_copies > 0").drop("m_rows")
+    few = F.broadcast(few) if few.count() <= BROADCAST_ROWS else few
+    on = F.col("doc_id").cast("long").eqNullSafe(F.col("m_id")) & F.xxhash64(F.col("text").cast("string")).eqNullSafe(F.col("m_tie")) & F.col("source").cast("string").eqNullSafe(F.col("m_source"))
+    return docs.join(few, on).withColumn("m_copies", F.explode(F.sequence(F.lit(1), F.col("m_copies")))).select(docs.columns)
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

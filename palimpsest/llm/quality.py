@@ -16,6 +16,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from palimpsest.llm.common import column_bytes, id_crc, shared_dir, spread, table
 from palimpsest.llm.learn import labelled, logistic, sigmoid
@@ -164,7 +165,9 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array([bins(m).tobytes() for m in ms], pa.binary()), pa.array([(m[:, 0] + 1).tobytes() for m in ms], pa.binary())], ["label", "bins", "lengths"])
 
 
-def _score(model):
+def _score(model, keep: bool = False):
+    """Scores of batches; keep: beside all their columns, else beside doc_id and held_out."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             scores, each, n = [], [], 0
@@ -181,11 +184,22 @@ def _score(model):
                     n = 0
             if each:
                 flush()
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())], ["doc_id", "held_out", "score"])
+            score = pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())
+            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "__score"]) if keep else pa.RecordBatch.from_arrays([b.column(0), b.column(1), score], ["doc_id", "held_out", "score"])
 
     return run
 
 
+def learn(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE):
+    """The broadcast model of a bounded sample of labelled rows that aren't held_out; None without labels of both kinds."""
+    rows = labelled(docs, labels, "quality", held_out, most).mapInArrow(_features, "label int, bins binary, lengths binary").toPandas()
+    good = rows["label"].to_numpy(float)
+    if len(set(good)) < 2:
+        return None
+    model = fit([np.frombuffer(x, np.uint8).reshape(-1, len(EDGES)) for x in rows["bins"]], [np.frombuffer(x) for x in rows["lengths"]], good)
+    return docs.sparkSession.sparkContext.broadcast(model)
+
+
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score, predicted for every row of docs (doc_id, text): score is P(good).
 
@@ -193,20 +207,28 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = S
     Nothing but the text is an input. A null or empty text is one empty line. Repeated rows get equal scores. Without
     labels of both kinds nothing is learnt and every score is 0.5. Other columns are ignored; an empty table gives none.
     """
-    spark = docs.sparkSession
-    shared_dir(spark)
+    shared_dir(docs.sparkSession)
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
-    rows = labelled(docs, labels, "quality", held_out, most).mapInArrow(_features, "label int, bins binary, lengths binary").toPandas()
-    good = rows["label"].to_numpy(float)
-    out = docs.select("doc_id", held_out.alias("held_out"), "text")
-    if len(set(good)) < 2:
+    model, out = learn(docs, labels, held_out, most), docs.select("doc_id", held_out.alias("held_out"), "text")
+    if model is None:
         scored = out.select("doc_id", "held_out", F.lit(0.5).alias("score"))
     else:
-        model = fit([np.frombuffer(x, np.uint8).reshape(-1, len(EDGES)) for x in rows["bins"]], [np.frombuffer(x) for x in rows["lengths"]], good)
-        scored = out.mapInArrow(_score(spark.sparkContext.broadcast(model)), "doc_id long, held_out boolean, score double")
+        scored = out.mapInArrow(_score(model), "doc_id long, held_out boolean, score double")
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def keep(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE) -> DataFrame:
+    """The rows of docs, with all their columns, that the model calls good; all rows where nothing can be learnt."""
+    shared_dir(docs.sparkSession)
+    docs = spread(docs)
+    model = learn(docs, labels, held_out, most)
+    if model is None:
+        return docs
+    names = docs.columns
+    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("__score", T.DoubleType())])
+    return docs.select(names).mapInArrow(_score(model, keep=True), schema).where("__score >= 0.5").select(names)
+
+
 def line_labels(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, line (from 0), bad: the probability that each line is bad, under a fitted model."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from palimpsest.llm import chat, graph, hilbert, hmm, minhash, mixing, packing, quality, toxicity
+from palimpsest.llm import chat, graph, hilbert, hmm, licenses, minhash, mixing, packing, quality, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_minhash": minhash.op1_minhash,
@@ -14,6 +14,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_packing": packing.op3_packing,
     "op4_toxicity": toxicity.op4_toxicity,
     "op5_mixing": mixing.op5_mixing,
+    "op6_licenses": licenses.op6_licenses,
     "op7_quality": quality.op7_quality,
     "op8_graph": graph.op8_graph,
     "op9_hilbert": hilbert.op9_hilbert,
