@@ -2,48 +2,26 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from palimpsest.shared import save, shared_dir, spread
+
+__all__ = ["save", "shared_dir", "spread"]
+
 #: The words of a text, as the queries count them.
 WORDS = r"[^\x20\x09-\x0D]+"
 
 M64 = (1 << 64) - 1
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only where none is named."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", named)
-    return named.rstrip("/")
-
-
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither repeat its work nor depend on one executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as cores, for tables of few files; the scan's own splitting otherwise."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
-
-
 def id_crc(col: str, mod: int) -> Column:
     """crc32 of an id as text, modulo mod; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod

@@ -10,7 +10,8 @@
 4. Pairs from the lists pass a size test, then the union-sketch estimate, then the exact test on whole sets.
 5. Only what decides components is tested: each class first against the best-connected class that it meets most often,
    then against a few random leaders of its lists that are still in other components; at last all pairs of different
-   components that meet in a list, so no list is cut short.
+   components that meet in a list, so no list is cut short. Classes that meet a component again and again are compared
+   with it in blocks, which hand on links alone.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,6 +31,8 @@ from palimpsest.llm.common import WordHashes, column_bytes, components, lists, m
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
 #: Turns of which the last tests all open pairs, and leaders that a class is tested against in each one before.
 TURNS, CHOICES = 3, 4
+#: Classes to a side of a block.
+BLOCK = 512
 #: Ids up to which the filter for texts to verify is broadcast; beyond, a shuffled semi-join.
 BROADCAST_IDS = 1_000_000
 
@@ -119,7 +123,15 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
         p = save(p.join(save(mixed, "minhash-mixed"), "key"), "minhash-open")
         if p.isEmpty():
             break
-        pairs = _some(p, turn, near) if turn < TURNS else _every(p, labels, sketches, near)
+        if turn < TURNS:
+            pairs = _some(p, turn, near)
+        else:
+            pairs, blocks = _every(p, labels, sketches, near)
+            blocks = save(blocks, "minhash-meetings")
+            sets = _sets(docs, blocks.select(F.col("rep").alias("id")), words)
+            met = blocks.join(sets.select(F.col("id").alias("rep"), F.size("set").cast("long").alias("n"), "set"), ["rep", "n"])
+            more = met.groupBy("main", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct().withColumn("linked", F.lit(True))
+            tested = save(tested.unionByName(more), "minhash-tested")
         pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
         tested = save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
     return rows, classes, tested.where("linked").select("a", "b")
@@ -139,28 +151,76 @@ def _some(p: DataFrame, turn: int, near) -> DataFrame:
     return few.select("rep", F.explode("few.leader").alias("leader")).select(*_ends("rep", "leader"))
 
 
-def _every(p: DataFrame, labels: DataFrame, sketches: DataFrame, near) -> DataFrame:
-    """All pairs of different components that meet in a list.
+def _every(p: DataFrame, labels: DataFrame, sketches: DataFrame, near) -> tuple[DataFrame, DataFrame]:
+    """All pairs of different components that meet in a list: pairs to verify, and blocks to compare.
 
-    Pairs with a list's main component are enumerated along the lists, or along the component where that is less (a
-    class that meets it in many lists would give each pair many times). The rest is enumerated along the lists.
+    A class outside its list's main component is compared along its lists where these are shorter than the component.
+    Otherwise it would give the same pairs again and again, and goes to blocks: with the component's members and the
+    others that go there. Pairs of two such classes meet in the blocks, all others along the lists.
     """
     size = p.groupBy("key", "label").agg(F.count("*").alias("here"))
-    main = save(size.groupBy("key").agg(F.max(F.struct("here", "label")).alias("m")).select("key", F.col("m.label").alias("main"), F.col("m.here").alias("here")), "minhash-main")
-    q = save(p.join(main, "key"), "minhash-outside")
+    main = size.groupBy("key").agg(F.max(F.struct("here", "label")).alias("m"), F.sum("here").alias("members")).select("key", F.col("m.label").alias("main"), "members")
+    q = save(p.join(save(main, "minhash-main"), "key"), "minhash-outside")
     out = q.where("label <> main")
-    x, y = out.alias("x"), out.alias("y")
-    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") < F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n")
-    pairs = x.join(y, cross).select(*_ends("x.rep", "y.rep"))
     full = labels.groupBy("label").agg(F.count("*").alias("size")).withColumnRenamed("label", "main")
-    cost = out.groupBy("rep", "n", "main").agg(F.sum("here").alias("along")).join(full, "main", "left").na.fill(1, ["size"])
+    cost = out.groupBy("rep", "n", "label", "main").agg(F.sum("members").alias("along")).join(full, "main", "left").na.fill(1, ["size"])
     cost = save(cost.withColumn("by_list", F.col("along") <= F.col("size")), "minhash-cost")
-    whole = cost.where("not by_list").select("rep", "n", "main")
-    members = labels.join(sketches.select(F.col("rep").alias("node"), F.col("n").alias("m")), "node").select(F.col("label").alias("main"), "node", "m")
-    pairs = pairs.unionAll(members.join(whole, "main").where(near("n", "m")).select(*_ends("rep", "node")))
-    some = out.join(cost.where("by_list").select("rep", "main"), ["rep", "main"]).select("key", "rep", "n")
-    of_main = q.where("label = main").select("key", F.col("rep").alias("node"), F.col("n").alias("m"))
-    return pairs.unionAll(of_main.join(some, "key").where(near("n", "m")).select(*_ends("rep", "node")))
+    some = out.join(cost.where("by_list").select("rep", "main"), ["rep", "main"]).select("key", "rep", "n", "label")
+    x, y = some.alias("x"), q.alias("y")
+    cross = (F.col("x.key") == F.col("y.key")) & (F.col("x.rep") != F.col("y.rep")) & (F.col("x.label") != F.col("y.label")) & near("x.n", "y.n")
+    pairs = y.join(x, cross).select(*_ends("x.rep", "y.rep"))
+
+    guests = cost.where("not by_list").select("main", "rep", "label", "n")
+    mains = save(guests.groupBy("main").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("xs"), F.count("*").alias("guests")), "minhash-guests")
+    known = labels.select(F.col("label").alias("main"), F.col("node").alias("rep"))
+    alone = mains.select("main", F.col("main").alias("rep")).join(known, ["main", "rep"], "left_anti")
+    home = known.unionAll(alone).join(mains.select("main"), "main", "left_semi").join(sketches.select("rep", "n"), "rep").select("main", "rep", F.col("main").alias("label"), "n")
+    all_ = save(home.withColumn("guest", F.lit(False)).unionByName(guests.withColumn("guest", F.lit(True))), "minhash-universe")
+    ys = all_.groupBy("main").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("ys"))
+    mains = save(mains.join(ys, "main").select("main", "xs", "ys"), "minhash-blocks")
+    all_ = all_.join(mains, "main").withColumn("i", F.pmod(F.xxhash64("rep"), F.col("xs")).cast("int")).withColumn("j", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("ys")).cast("int"))
+    role = lambda r: F.lit(r).alias("asks")
+    asks = all_.where("guest").select("main", "i", F.explode(F.sequence(F.lit(0), F.col("ys") - 1)).alias("j"), "rep", "label", "n", role(True))
+    told = all_.select("main", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)).alias("i"), "j", "rep", "label", "n", role(False))
+    return pairs, asks.unionByName(told)
+
+
+def _compare(percent: int):
+    """In a block, for each class that asks, one linked class of each other component: exact, on whole sets."""
+
+    def run(g: pd.DataFrame) -> pd.DataFrame:
+        x, y = g[g["asks"]], g[~g["asks"]]
+        if not len(x) or not len(y):
+            return pd.DataFrame({"a": np.empty(0, np.int64), "b": np.empty(0, np.int64)})
+        flat = [np.concatenate([np.asarray(v, np.int64) for v in s["set"]]) for s in (x, y)]
+        rows = [np.repeat(np.arange(len(s)), s["set"].map(len)) for s in (x, y)]
+        both = np.intersect1d(flat[0], flat[1])
+        at = [np.searchsorted(both, f) for f in flat]
+        hit = [both[np.minimum(a, len(both) - 1)] == f if len(both) else np.zeros(len(f), bool) for a, f in zip(at, flat, strict=True)]
+        common = np.zeros((len(x), len(y)), np.float32)
+        for low in range(0, len(both), 4096):
+            sides = []
+            for s, r, a, h in zip((x, y), rows, at, hit, strict=True):
+                m = np.zeros((len(s), min(4096, len(both) - low)), np.float32)
+                here = h & (a >= low) & (a < low + 4096)
+                m[r[here], a[here] - low] = 1
+                sides.append(m)
+            common += sides[0] @ sides[1].T
+        n, m = x["n"].to_numpy()[:, None], y["n"].to_numpy()[None, :]
+        ok = (100 * common >= percent * (n + m - common)) & (x["label"].to_numpy()[:, None] != y["label"].to_numpy()[None, :])
+        i, j = np.nonzero(ok)
+        f = pd.DataFrame({"x": x["rep"].to_numpy()[i], "y": y["rep"].to_numpy()[j], "label": y["label"].to_numpy()[j]}).groupby(["x", "label"], as_index=False)["y"].min()
+        return pd.DataFrame({"a": np.minimum(f["x"], f["y"]), "b": np.maximum(f["x"], f["y"])})
+
+    return run
+
+
+def _sets(docs: DataFrame, ids: DataFrame, words: int) -> DataFrame:
+    """id, set of the documents named: their whole shingle sets, from their texts."""
+    ids = save(ids.distinct(), "minhash-ids")
+    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    sets = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi").mapInArrow(_full(words), "id long, set array<long>")
+    return sets.where(F.size("set") > 0)
 
 
 def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -172,10 +232,7 @@ def _verify(pairs: DataFrame, sketches: DataFrame, docs: DataFrame, words: int,
     whole = F.least("n_a", "n_b") <= SKETCH // 2  # of small sets the estimate says too little to reject
     p = save(p.withColumn("may", whole | (estimate >= percent / 100 - SLACK)).select("a", "b", "n_a", "n_b", "may"), "minhash-estimates")
     q = p.where("may")
-    ids = save(q.select(F.col("a").alias("id")).unionAll(q.select(F.col("b").alias("id"))).distinct(), "minhash-ids")
-    few = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    sets = docs.select(F.col("doc_id").alias("id"), "text").join(few, "id", "left_semi").mapInArrow(_full(words), "id long, set array<long>")
-    sets = sets.where(F.size("set") > 0)
+    sets = _sets(docs, q.select(F.col("a").alias("id")).unionAll(q.select(F.col("b").alias("id"))), words)
     sides = [sets.select(F.col("id").alias(c), F.size("set").cast("long").alias(f"n_{c}"), F.col("set").alias(f"set_{c}")) for c in "ab"]
     both = F.size(F.array_intersect("set_a", "set_b"))
     done = q.join(sides[0], ["a", "n_a"]).join(sides[1], ["b", "n_b"]).groupBy("a", "b").agg(F.max(both * 100 >= percent * (F.col("n_a") + F.col("n_b") - both)).alias("linked"))
