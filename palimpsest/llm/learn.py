@@ -30,4 +30,4 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, m
     Each of an id's repeated rows is in the sample.
     """
     few = labels.where(F.col(label).isNotNull() & ~held_out).groupBy("doc_id").agg(F.min(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
+    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")

@@ -70,7 +70,7 @@ def test_mix_and_packing(stages):
 def test_stages_stand_odd_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "plain words of prose here", "en", None, 5), (2, "plain words of prose here", "en", None, 5)], schema)
-    for docs in (odd, odd.limit(0)):
+    for docs in (odd, odd.limit(0), odd.selectExpr("*", "'x' as label", "1 as score", "2 as n", "true as kept", "3 as copies", "4 as size")):
         for name, f in corpus_pipeline.STAGES[:4]:
             got = f(spark, docs, sf)
-            assert got.columns == COLUMNS and got.count() <= 2 * docs.count(), name
+            assert got.columns == docs.columns and got.count() <= 2 * docs.count(), name
