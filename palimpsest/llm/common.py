@@ -15,8 +15,6 @@ __all__ = ["save", "shared_dir", "spread"]
 #: The words of a text, as the queries count them.
 WORDS = r"[^\x20\x09-\x0D]+"
 
-M64 = (1 << 64) - 1
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -27,11 +25,6 @@ def id_crc(col: str, mod: int) -> Column:
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
-def words_of(text: str | None) -> list[bytes]:
-    """Words after lower-casing A-Z alone. bytes.lower and bytes.split have exactly these ASCII rules."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
-
-
 class WordHashes(dict):
     """64-bit hashes of words, remembered. Forgets all when it has grown to `most` words, so memory stays bounded."""
 
