@@ -38,11 +38,7 @@ def placeholder_tag(text: Column) -> Column:
 
 def placeholder_seq(text: Column) -> Column:
     """The number of a placeholder; null where it is no 64-bit one."""
-    return F.expr(f"try_cast(regexp_extract({_name(text)}, r'{PLACEHOLDER}', 2) as bigint)") if isinstance(text, str) else F.regexp_extract(text, PLACEHOLDER, 2).try_cast("bigint")
-
-
-def _name(text: str) -> str:
-    return f"`{text}`"
+    return F.regexp_extract(text, PLACEHOLDER, 2).try_cast("bigint")
 
 
 def unwrap(text: Column) -> Column:

@@ -8,7 +8,6 @@ Only spans are shuffled. Texts without spans go from the scan to the result; of
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from palimpsest.config import Config
@@ -79,9 +78,3 @@ def summary(cleaned: DataFrame) -> DataFrame:
     each = cleaned.select(F.explode("by_tag").alias("tag", "n")).groupBy("tag").agg(F.sum("n").alias("n"))
     parts = each.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.array_sort(F.collect_list(F.concat_ws(" ", "tag", F.col("n").cast("string")))).alias("parts"))
     return parts.select(F.concat(F.col("total").cast("string"), F.lit(" replaced"), F.when(F.size("parts") > 0, F.concat(F.lit(": "), F.array_join("parts", ", "))).otherwise("")).alias("summary"))
-
-
-def firsts_in_order(found: DataFrame, id: str = "doc_id") -> DataFrame:
-    """tag, seq, norm, value by one window per tag: the plain form of numbering, for tables that fit it."""
-    v = vault.firsts(found.select("tag", "norm", "value", F.struct(id, "nth").alias("ord")))
-    return v.withColumn("seq", F.row_number().over(W.partitionBy("tag").orderBy("ord")).cast("long")).select("tag", "seq", "norm", "value")
