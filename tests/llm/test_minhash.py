@@ -3,6 +3,7 @@ from itertools import combinations
 
 import numpy as np
 
+from palimpsest.llm import minhash
 from palimpsest.llm.common import components
 from palimpsest.llm.minhash import RUN, SHARED, SKETCH, near_duplicates, op1_minhash
 
@@ -39,7 +40,7 @@ def test_whole_table_equals_brute_force(spark, sf):
     assert rows(op1_minhash(spark, sf)) == brute(docs, 2)
 
 
-def test_groups_of_near_copies_and_a_common_passage(spark):
+def test_groups_of_near_copies_and_a_common_passage(spark, monkeypatch):
     rng = random.Random(5)
     word = lambda: "".join(rng.choices("abcdefgh", k=4))
     passage, docs = " ".join(word() for _ in range(60)), []
@@ -57,6 +58,10 @@ def test_groups_of_near_copies_and_a_common_passage(spark):
     docs = list(enumerate(docs))
     assert rows(near_duplicates(spark.createDataFrame([(d, t, 7, None) for d, t in docs], DOCS), words=2)) == brute(docs, 2)
     assert rows(near_duplicates(spark.createDataFrame([(d, t, 7, None) for d, t in docs], DOCS))) == brute(docs, 5)
+    # straight to the last turn, in small blocks
+    monkeypatch.setattr(minhash, "TURNS", 1)
+    monkeypatch.setattr(minhash, "BLOCK", 7)
+    assert rows(near_duplicates(spark.createDataFrame([(d, t, 7, None) for d, t in docs], DOCS), words=2)) == brute(docs, 2)
 
 
 def test_odd_rows(spark):
