@@ -16,7 +16,7 @@ from palimpsest.llm.common import WORDS, save, spread, table
 #: Words to mix as a share of all words, weights dealt to the sources in order, and most copies of a document.
 SHARE, WEIGHTS, COPIES = 1.5, (3, 1, 2), 2
 #: Documents of a source and rank bucket, about; only the bucket in which the target is met is ordered row by row.
-BUCKET_ROWS = 10_000
+BUCKET_ROWS = 1_000
 #: Documents after the last one that fits among which one more is sought to fill the gap.
 LOOK_AHEAD = 256
 
