@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -65,6 +70,20 @@ def shingles(h: np.ndarray, n: int = 2) -> np.ndarray:
     return np.unique(acc >> np.uint64(1))
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches of a task in slices, so that what is made of them stays small beside the texts.
+
+    Workers are used again: memory that earlier tasks have left behind is first given back.
+    """
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

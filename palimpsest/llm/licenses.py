@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import column_bytes, spread, table
+from palimpsest.llm.common import column_bytes, small, spread, table
 
 #: Wordings of licenses by SPDX identifier: notices, and the paragraphs that identify a full text. Fixed values.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -157,7 +157,7 @@ def scan(text: bytes) -> list[tuple]:
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split()[0] for c in OUT.split(", ")]
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.int32(), pa.int32(), pa.int32(), pa.bool_()]
-    for b in batches:
+    for b in small(batches):
         rows = [(i, *r) for i, t in zip(b.column(0).to_pylist(), column_bytes(b, "text"), strict=True) if t for r in scan(t)]
         yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, spread, table
+from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, small, spread, table
 
 #: Sketch size, length of runs, runs that a pair is sure enough to share, slack of the estimate (five deviations).
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
@@ -42,7 +42,7 @@ SKETCHES = "doc_id long, n long, f1 long, f2 long, sketch array<long>"
 def _sketch(words: int, size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in small(batches):
             sets = [shingles(hashes.of((t or b"").lower().split()), words) for t in column_bytes(b, "text")]
             prints = np.array([[xxhash.xxh3_64_intdigest(s, seed) for seed in (1, 2)] for s in sets], np.uint64).reshape(-1, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays(
@@ -56,7 +56,7 @@ def _sketch(words: int, size: int):
 def _full(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
-        for b in batches:
+        for b in small(batches):
             sets = [shingles(hashes.of((t or b"").lower().split()), words).astype(np.int64) for t in column_bytes(b, "text")]
             yield pa.RecordBatch.from_arrays([b.column(0), lists(sets, pa.int64())], ["id", "set"])
 

@@ -19,12 +19,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import save, spread, table
+from palimpsest.llm.common import column_bytes, save, small, spread, table
 
 LENGTH = 4096
 #: Rows of the (partition, source) table up to which it is broadcast; beyond, a plain join.
@@ -76,28 +77,35 @@ class ChunkEncoder(dict):
         return ids
 
     def __call__(self, text: str | None) -> bytes:
-        raw = (text or "").encode("utf-8", "replace")
-        if self.whole or b"<|" in raw:  # perhaps a special token, which is matched before lower-casing
-            return self._full(text or "") + self.end
-        return b"".join(map(self.__getitem__, raw.lower().split())) + self.end
+        return self.raw((text or "").encode("utf-8", "replace"))
 
+    def raw(self, text: bytes | None) -> bytes:
+        """Ids of a text in UTF-8."""
+        text = text or b""
+        if self.whole or b"<|" in text:  # perhaps a special token, which is matched before lower-casing
+            return self._full(text.decode("utf-8", "replace")) + self.end
+        return b"".join(map(self.__getitem__, text.lower().split())) + self.end
 
-def _tokenize(path: str, end_id: int | None, whole: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+TOKENS = "doc_id long, source string, part int, start_in_part long, n long, width int, ids binary"
+
+
+def _tokenize(path: str, end_id: int | None, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         encode, at, part = ChunkEncoder(path, end_id, whole), {}, TaskContext.get().partitionId()
         width = encode.dtype.itemsize
-        for f in frames:
-            for i in range(0, len(f), 512):
-                g = f.iloc[i : i + 512]
-                ids, starts = [encode(t if isinstance(t, str) else None) for t in g["text"]], []
-                for s, x in zip(g["source"], ids, strict=True):
-                    s = s if isinstance(s, str) else None
-                    starts.append(at.get(s, 0))
-                    at[s] = starts[-1] + len(x) // width
-                yield pd.DataFrame({"doc_id": g["doc_id"].to_numpy(), "source": g["source"].to_numpy(), "part": part, "start_in_part": starts, "n": [len(x) // width for x in ids], "width": width, "ids": ids})
+        for b in small(batches):
+            ids, starts = list(map(encode.raw, column_bytes(b, "text"))), []
+            sizes = [len(x) // width for x in ids]
+            for s, n in zip(b.column(2).to_pylist(), sizes, strict=True):
+                starts.append(at.get(s, 0))
+                at[s] = starts[-1] + n
+            k = len(ids)
+            cols = [b.column(0), b.column(2), pa.array([part] * k, pa.int32()), pa.array(starts, pa.int64()), pa.array(sizes, pa.int64()), pa.array([width] * k, pa.int32()), pa.array(ids, pa.binary())]
+            yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in TOKENS.split(", ")])
 
     return run
 
@@ -160,9 +168,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int =
     many partitions as before.
     """
     ids = save(
-        spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).mapInPandas(
-            _tokenize(tokenizer, end_id, whole), "doc_id long, source string, part int, start_in_part long, n long, width int, ids binary"
-        ),
+        spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).mapInArrow(_tokenize(tokenizer, end_id, whole), TOKENS),
         "packing-ids",
     )
     sums = save(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")

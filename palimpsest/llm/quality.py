@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import column_bytes, id_crc, shared_dir, spread, table
+from palimpsest.llm.common import column_bytes, id_crc, shared_dir, small, spread, table
 from palimpsest.llm.learn import labelled, logistic, sigmoid
 
 #: Labelled documents that are learnt from at most.
@@ -160,7 +160,7 @@ def fit(each: list[np.ndarray], lengths: list[np.ndarray], good: np.ndarray, ste
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in small(batches):
         ms = [measures(t or b"") for t in column_bytes(b, "text")]
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array([bins(m).tobytes() for m in ms], pa.binary()), pa.array([(m[:, 0] + 1).tobytes() for m in ms], pa.binary())], ["label", "bins", "lengths"])
 
@@ -169,7 +169,7 @@ def _score(model, keep: bool = False):
     """Scores of batches; keep: beside all their columns, else beside doc_id and held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small(batches):
             scores, each, n = [], [], 0
 
             def flush():
