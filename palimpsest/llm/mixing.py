@@ -15,7 +15,8 @@ from palimpsest.llm.common import WORDS, save, spread, table
 
 #: Words to mix as a share of all words, weights dealt to the sources in order, and most copies of a document.
 SHARE, WEIGHTS, COPIES = 1.5, (3, 1, 2), 2
-#: Documents of a source and rank bucket, about; only the bucket in which the target is met is ordered row by row.
+#: Documents of a source and rank bucket, about; only the bucket in which the target is met, and those after it
+#: that hold the documents to look ahead to, are ordered row by row.
 BUCKET_ROWS = 1_000
 #: Documents after the last one that fits among which one more is sought to fill the gap.
 LOOK_AHEAD = 256
@@ -49,8 +50,8 @@ def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIG
     A null or empty text has size 0 and takes 0 words. A null source is a source, the last. Repeated rows are ranked
     each (ties by id, size, row hash). Other columns are ignored; an empty table gives none.
 
-    Texts are read once, for their sizes. Ranks are summed by bucket; only the bucket that meets a source's target is
-    ordered, so a source that holds most rows loads no task more than others.
+    Texts are read once, for their sizes. Ranks are summed by bucket; only the bucket that meets a source's target and
+    the next LOOK_AHEAD documents' are ordered, so a source that holds most rows loads no task more than others.
     """
     size = F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long")
     sizes = save(spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).select("doc_id", "source", size.alias("size"), F.xxhash64("text").alias("tie")), "mixing-sizes")
@@ -62,11 +63,15 @@ def mixed(docs: DataFrame, share: float = SHARE, weights: tuple[int, ...] = WEIG
     on = F.col("source").eqNullSafe(F.col("s_source"))
     rows = sizes.join(per, on).withColumn("u", random_unit(F.col("doc_id"))).withColumn("q", F.when(F.col("p") > 0, q))
     rows = save(rows.withColumn("bucket", F.when(F.col("p") > 0, F.floor(F.col("u") * F.col("buckets")))).drop("s_source", "buckets", "docs", "p", "u"), "mixing-ranks")
-    sums = rows.where("bucket is not null").groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.col("rest").alias("b_rest")).agg(F.sum("size").alias("words"))
+    sums = rows.where("bucket is not null").groupBy(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.col("rest").alias("b_rest")).agg(F.sum("size").alias("words"), F.count("*").alias("n"))
     sums = sums.withColumn("before", F.sum("words").over(W.partitionBy("b_source").orderBy("b_bucket")) - F.col("words"))
-    sums = sums.withColumn("fits", F.col("before") + F.col("words") <= F.col("b_rest")).withColumn("edge", ~F.col("fits") & (F.col("before") <= F.col("b_rest"))).select("b_source", "b_bucket", "before", "fits", "edge")
+    sums = sums.withColumn("fits", F.col("before") + F.col("words") <= F.col("b_rest")).withColumn("meets", ~F.col("fits") & (F.col("before") <= F.col("b_rest")))
+    # the buckets after the one that meets the target are ordered with it until they hold the rows to look ahead to
+    sums = sums.withColumn("upto", F.sum("n").over(W.partitionBy("b_source").orderBy("b_bucket")))
+    met = [F.max(F.when(F.col("meets"), F.col(c))).over(W.partitionBy("b_source")) for c in ("b_bucket", "upto", "before")]
+    sums = sums.withColumn("edge", F.coalesce((F.col("b_bucket") >= met[0]) & (F.col("upto") - F.col("n") - met[1] < LOOK_AHEAD), F.lit(False))).withColumn("before", met[2]).select("b_source", "b_bucket", "before", "fits", "edge")
     rows = rows.join(sums, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")), "left").drop("b_source", "b_bucket")
-    group = W.partitionBy("source", "bucket")
+    group = W.partitionBy("source")
     run = F.col("before") + F.sum("size").over(group.orderBy("q", "doc_id", "size", "tie").rowsBetween(W.unboundedPreceding, 0))
     edge = rows.where("edge").withColumn("nth", F.row_number().over(group.orderBy("q", "doc_id", "size", "tie"))).withColumn("run", run).withColumn("in", F.col("run") <= F.col("rest"))
     edge = edge.withColumn("gap", F.col("rest") - F.coalesce(F.max(F.when(F.col("in"), F.col("run"))).over(group), F.col("before"))).withColumn("last", F.coalesce(F.max(F.when(F.col("in"), F.col("nth"))).over(group), F.lit(0)))

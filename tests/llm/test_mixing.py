@@ -65,3 +65,13 @@ def test_odd_rows(spark):
     assert mix(df.limit(0)).count() == 0
     out = take(df)
     assert out.columns == df.columns and sum(r.doc_id == 1 for r in out.collect()) == sum(r.copies for r in mix(df).collect() if r.doc_id == 1)
+
+
+@pytest.mark.parametrize("rows", [10_000, 300, 50, 3])
+def test_small_buckets_choose_what_sql_chooses(spark, monkeypatch, rows):
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", rows)
+    docs = spark.createDataFrame([(i, "w " * (20 + i * 7919 % 181), (None, "a", "b", "c")[i % 7 % 4]) for i in range(4_000)], "doc_id long, text string, source string")
+    c = duckdb.connect()
+    c.register("documents", docs.toArrow())
+    want = c.execute(f"select doc_id, copies from ({ORACLE}) order by doc_id").fetchall()
+    assert [tuple(r) for r in mix(docs).select("doc_id", "copies").orderBy("doc_id").collect()] == want
