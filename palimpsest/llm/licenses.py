@@ -61,9 +61,14 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "CC0-1.0": ("To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.", "SPDX-License-Identifier: CC0-1.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.", "SPDX-License-Identifier: Unlicense"),
 }
-#: What makes a sentence start a block.
-CUE = re.compile(rb"licen[sc]e|copyright|spdx|creative commons|redistribut|public domain|permission (?:is hereby|to use)|free software|\bCC[ -]BY|the name of the copyright|unless required by applicable", re.I)
+#: What makes a sentence start a block; words may be parted by a line break and a comment's sign.
+CUE = re.compile(rb"licen[sc]e|copyright|spdx|creative commons|redistribut|public domain|permission (?:is hereby|to use)|free software|\bCC[ -]BY|the name of the copyright|unless required by applicable".replace(b"[ -]", b"[-\\s]").replace(b" ", rb"\s+(?:[#*/;%-]+\s+)?"), re.I)
 SENTENCE = re.compile(rb"[^\n]+?(?:[.!?](?=\s)|(?=\n)|\Z)")
+#: A sentence that may run over single line breaks, and what parts paragraphs.
+WRAPPED = re.compile(rb"(?:[^\n]|\n(?![ \t\r]*\n))+?(?:[.!?](?=\s)|(?=\n[ \t\r]*\n)|\Z)")
+#: A line break within a sentence, with the sign of a comment.
+BREAK = re.compile(rb"[ \t\r]*\n[\s#*/;%-]*")
+PARAGRAPH, STOP = re.compile(rb"\n[ \t\r]*\n"), re.compile(rb"[.!?]\s")
 WORD = re.compile(r"[^\W_]+(?:[.\-'][^\W_]+)*")
 #: zstandard level, templates that are compared word by word, least saving in bytes, words missing at most in a close copy.
 LEVEL, WINNERS, LEAST_SAVED, CLOSE = 9, 3, 8, 0.1
@@ -129,26 +134,29 @@ def scan(text: bytes) -> list[tuple]:
         if cue.start() < done:
             continue
         low = max(done, cue.start() - BEFORE)
-        begin = max(low, text.rfind(b"\n", low, cue.start()) + 1)
-        begin += max((m.end() for m in re.finditer(rb"[.!?]\s", text[begin : cue.start()])), default=0)
-        block = text[begin : begin + BLOCK_BYTES]
-        first = SENTENCE.match(text, begin, begin + BLOCK_BYTES)
-        notice = max(first.end() if first else 0, cue.end())
-        shown = block.decode("utf-8", "replace")
-        places = [m.span() for m in WORD.finditer(shown)]
-        spoken, best = [shown[i:j].lower() for i, j in places], None
-        # a notice is a sentence, a full text is a paragraph: the best of both are compared word by word
-        for gain, name in [*saved(text[begin:notice])[:WINNERS], *saved(block)[:WINNERS]]:
-            if gain >= LEAST_SAVED:
-                missing, added, n, i, j = differences(spoken, name)
-                row = (missing > 0 or added > 0, missing + added > CLOSE * n, missing + added, -gain, name, missing, added, n, i, j)
-                best = row if best is None or row < best else best
+        line = max(low, text.rfind(b"\n", low, cue.start()) + 1)
+        paragraph = max((m.end() for m in PARAGRAPH.finditer(text, low, cue.start())), default=low)
+        best = None
+        # the cue may stand on a later line of a wrapped sentence: the block from its line's and its paragraph's sentence
+        for begin in dict.fromkeys(max((m.end() for m in STOP.finditer(text, x, cue.start())), default=x) for x in (line, paragraph)):
+            block = text[begin : begin + BLOCK_BYTES]
+            notices = dict.fromkeys(max(m.end() if m else 0, cue.end()) for m in (SENTENCE.match(text, begin, begin + BLOCK_BYTES), WRAPPED.match(text, begin, begin + BLOCK_BYTES)))
+            shown = block.decode("utf-8", "replace")
+            places = [m.span() for m in WORD.finditer(shown)]
+            spoken = [shown[i:j].lower() for i, j in places]
+            # a notice is a sentence, a full text is a paragraph: the best of all are compared word by word
+            gains = [x for part in dict.fromkeys((*(BREAK.sub(b" ", text[begin:n]) for n in notices), block)) for x in saved(part)[:WINNERS]]
+            for gain, name in gains:
+                if gain >= LEAST_SAVED:
+                    missing, added, n, i, j = differences(spoken, name)
+                    row = (missing > 0 or added > 0, missing + added > CLOSE * n, missing + added, -gain, name, missing, added, n, i, j)
+                    if best is None or row < best:
+                        best, span = row, (begin + len(shown[: places[i][0]].encode()), begin + len(shown[: places[j - 1][1]].encode()))
         if best is None or best[5] > best[7] // 2:
             done = cue.end()
             continue
-        exact, far, _, gain, name, missing, added, n, i, j = best
-        start = begin + len(shown[: places[i][0]].encode())
-        end = begin + len(shown[: places[j - 1][1]].encode())
+        exact, far, _, gain, name, missing, added, n, _, _ = best
+        start, end = span
         out.append((start, end - start, name, -gain, -gain / (end - start), n, missing, added, not exact or not far))
         done = max(end, cue.end())
     return out

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 from palimpsest.llm.licenses import TEMPLATES, find, op6_licenses, saved, scan
 
@@ -41,3 +42,14 @@ def test_odd_rows(spark):
     last = next(r for r in got if r.doc_id == 4)
     assert last.start == 3 * 90_000 and last.confirmed
     assert find(df.limit(0)).count() == 0
+
+
+def test_every_wording_is_found_wrapped_at_any_width():
+    for name, wordings in TEMPLATES.items():
+        for w in wordings:
+            for width in (20, 33, 50, 60, 70, 80):
+                for before, lead in (("Some prose before it.\n", ""), ("A heading\n\n", " * "), ("", "# ")):
+                    lines = [lead + x for x in textwrap.wrap(w, width, break_long_words=False, break_on_hyphens=False)]
+                    text = (before + "\n".join(lines) + "\n\nAnd prose after it.").encode()
+                    got = [r for r in scan(text) if r[8] and r[2] == name and r[6] == r[7] == 0]
+                    assert any(text[r[0] :].startswith(w[:5].encode()) for r in got), (name, text, scan(text))
