@@ -16,9 +16,10 @@ from palimpsest.plans.rpc import Roots, Server
 
 
 def session():
+    """A session whose shuffle and spill files are encrypted."""
     from pyspark.sql import SparkSession
 
-    s = SparkSession.builder.appName("palimpsest").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").getOrCreate()
+    s = SparkSession.builder.appName("palimpsest").config("spark.sql.session.timeZone", "UTC").config("spark.ui.showConsoleProgress", "false").config("spark.io.encryption.enabled", "true").getOrCreate()
     s.sparkContext.setLogLevel("ERROR")
     return s
 

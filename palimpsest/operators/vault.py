@@ -38,8 +38,8 @@ def number(values: DataFrame, taken: DataFrame | None = None) -> DataFrame:
 
     values has one row per (tag, norm). ord orders all of them.
     """
-    n = max(1, values.sparkSession.sparkContext.defaultParallelism)
-    laid = save(values.repartitionByRange(n, "tag", "ord", "norm").withColumn("__part", F.spark_partition_id()), "vault-order")
+    hidden = [c for c in ("norm", "value") if c in values.columns]
+    laid = save(values.repartitionByRange("tag", "ord", "norm").withColumn("__part", F.spark_partition_id()), "vault-order", hidden)
     counts = laid.groupBy("tag", "__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("tag").orderBy("__part")) - F.col("__n")).drop("__n")
     if taken is not None:
@@ -93,9 +93,9 @@ class Vault:
             os.fsync(f.fileno())
         os.replace(part, self.manifest)
 
-    def mappings(self) -> DataFrame:
-        """The sealed table: tag, seq, index_hash, nonce, ciphertext, created_at."""
-        paths = [f"file://{self.folder.resolve()}/{b}" for b in self.batches()]
+    def mappings(self, batches: list[str] | None = None) -> DataFrame:
+        """The sealed table: tag, seq, index_hash, nonce, ciphertext, created_at; of the visible batches, or those given."""
+        paths = [f"file://{self.folder.resolve()}/{b}" for b in (self.batches() if batches is None else batches)]
         return self.spark.read.schema(SCHEMA).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMA)
 
     def entries(self) -> DataFrame:
@@ -119,7 +119,7 @@ class Vault:
         values may repeat; the first spelling by ord is the one that is stored. Nothing is visible before all is written.
         """
         with self.locked():
-            wanted = save(self.hashed(firsts(values)), "vault-wanted")
+            wanted = save(self.hashed(firsts(values)), "vault-wanted", ("norm", "value"))
             known = self.mappings().select("index_hash", "seq")
             new = wanted.join(known.select("index_hash"), "index_hash", "left_anti")
             if not new.isEmpty():
@@ -128,12 +128,13 @@ class Vault:
                 sealed = numbered.withColumn("nonce", nonce).withColumn("ciphertext", F.aes_encrypt(F.encode("value", "UTF-8"), F.col("k_seal"), F.lit("GCM"), F.lit("DEFAULT"), F.col("nonce"), self._bound()))
                 name = f"batch-{uuid.uuid4().hex}"
                 sealed.select("tag", "seq", "index_hash", "nonce", "ciphertext", F.current_timestamp().alias("created_at")).write.parquet(f"file://{self.folder.resolve()}/{name}")
+                self.check([*self.batches(), name])
                 self._commit([*self.batches(), name])
             return wanted.join(self.mappings().select("index_hash", "seq"), "index_hash").select("tag", "norm", "seq")
 
-    def check(self) -> None:
-        """Raises unless hashes are unique and so are numbers within a tag."""
-        m = self.mappings()
+    def check(self, batches: list[str] | None = None) -> None:
+        """Raises unless hashes are unique and so are numbers within a tag; no batch becomes visible that would break this."""
+        m = self.mappings(batches)
         for keys in (["index_hash"], ["tag", "seq"]):
             if not m.groupBy(*keys).count().where("count > 1").isEmpty():
                 raise VaultError(f"{', '.join(keys)} is not unique")

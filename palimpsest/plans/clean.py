@@ -3,6 +3,7 @@
     documents -> spans (Arrow scan) -> disjoint spans -> distinct values -> numbers -> placeholders -> rewritten texts
 
 Only spans are shuffled. Texts without spans go from the scan to the result; of the others, spans come back by row.
+Values lie in the shared folder sealed, and only until the placeholders of the call are known.
 """
 
 from __future__ import annotations
@@ -16,10 +17,12 @@ from palimpsest.functions.text import PLACEHOLDER, placeholder
 from palimpsest.operators import rewrite, vault
 from palimpsest.operators.detect import Layer, detect
 from palimpsest.operators.resolve import resolve
-from palimpsest.shared import save, spread
+from palimpsest.shared import drop, save, spread
 
-#: Documents with spans up to which their spans are broadcast to the texts; beyond, a shuffled join.
-BROADCAST_DOCS = 100_000
+#: Spans up to which they are broadcast to the texts (some 60 bytes each); beyond, a shuffled join.
+BROADCAST_SPANS = 1_000_000
+#: What is never written to the shared folder in the clear.
+SECRET = ("norm", "value")
 
 
 def spans(docs: DataFrame, config: Config, id: str = "doc_id", text: str = "text", layer: Layer | None = None) -> DataFrame:
@@ -40,7 +43,7 @@ def place(found: DataFrame, numbers: DataFrame, id: str) -> DataFrame:
 def rewritten(docs: DataFrame, placed: DataFrame, id: str, text: str) -> DataFrame:
     """docs with the text rewritten, and replaced and by_tag."""
     placed = save(placed, "placed").withColumnRenamed(id, "__id")
-    placed = F.broadcast(placed) if placed.count() <= BROADCAST_DOCS else placed
+    placed = F.broadcast(placed) if (placed.agg(F.sum("replaced")).first()[0] or 0) <= BROADCAST_SPANS else placed
     out = docs.join(placed, F.col(id) == F.col("__id"), "left").drop("__id")
     new = F.when(F.col("spans").isNull(), F.col(text)).otherwise(rewrite.apply(F.col(text), F.col("spans")))
     none = F.map_from_arrays(F.array().cast("array<string>"), F.array().cast("array<int>"))
@@ -53,17 +56,21 @@ def clean(docs: DataFrame, config: Config, store: vault.Vault | None = None, id:
     id must be unique. Values are numbered by id, then by place. With a vault, numbers are those of the vault, and new values are
     stored before any text is rewritten; without one they hold for this call only.
     """
-    found = save(spans(docs, config, id, text, layer), "spans")
+    found = save(spans(docs, config, id, text, layer), "spans", SECRET)
     values = found.select("tag", "norm", "value", F.struct(id, "nth").alias("ord"))
-    numbers = save(store.allocate(values) if store else vault.number(vault.firsts(values)).select("tag", "norm", "seq"), "numbers")
-    return rewritten(docs, place(found, numbers, id), id, text)
+    numbers = store.allocate(values) if store else vault.number(vault.firsts(values)).select("tag", "norm", "seq")
+    out = rewritten(docs, place(found, numbers, id), id, text)
+    drop(found)
+    return out
 
 
 def clean_with_values(docs: DataFrame, config: Config, id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """What clean returns without a vault, and the values (tag, seq, value) behind the placeholders."""
-    found = save(spans(docs, config, id, text), "spans")
-    numbered = save(vault.number(vault.firsts(found.select("tag", "norm", "value", F.struct(id, "nth").alias("ord")))), "numbers")
-    return rewritten(docs, place(found, numbered.select("tag", "norm", "seq"), id), id, text), numbered.select("tag", "seq", "value")
+    found = save(spans(docs, config, id, text), "spans", SECRET)
+    numbered = save(vault.number(vault.firsts(found.select("tag", "norm", "value", F.struct(id, "nth").alias("ord")))), "numbers", SECRET)
+    out = rewritten(docs, place(found, numbered.select("tag", "norm", "seq"), id), id, text)
+    drop(found)
+    return out, numbered.select("tag", "seq", "value")
 
 
 def restore(docs: DataFrame, store: vault.Vault, id: str = "doc_id", text: str = "text") -> DataFrame:

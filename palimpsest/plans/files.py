@@ -9,7 +9,7 @@ from palimpsest.config import Config
 from palimpsest.operators import rewrite
 from palimpsest.operators.detect import Layer
 from palimpsest.operators.vault import Vault
-from palimpsest.plans.clean import place, restore, rewritten, spans
+from palimpsest.plans.clean import SECRET, place, restore, rewritten, spans
 from palimpsest.shared import save
 from palimpsest.sources import listing, readers, sinks
 from palimpsest.sources.formats import ConversionError
@@ -21,7 +21,7 @@ STEM, SHEET, BODY = 0, 1, 2
 def parts_of(spark: SparkSession, paths: list[str], recursive: bool = False, ocr: readers.Ocr | None = None, permissive: bool = False) -> tuple[DataFrame, int]:
     """Parts of all inputs, and the number of skipped files. The first failure is raised unless permissive: then it is a row with its error."""
     inputs, skipped = listing.resolve(paths, recursive)
-    parts = save(readers.read(listing.frame(spark, inputs), ocr), "parts")
+    parts = save(readers.read(listing.frame(spark, inputs), ocr), "parts", ("path", "root", "sheet_name", "text", "error"))
     bad = parts.where("error is not null").orderBy("input_ord").take(1)
     if bad and not permissive:
         raise ConversionError(bad[0].error)
@@ -68,9 +68,9 @@ def clean_files(
     if decisions is not None:
         refused = decisions.where("not accepted").select("id", "start", "end")
         found = found.join(refused, ["id", "start", "end"], "left_anti")
-    found = save(found, "file-spans")
+    found = save(found, "file-spans", SECRET)
     order = F.struct(F.col("id.input_ord"), F.when(F.col("id.source") == STEM, -1).otherwise(F.col("id.part_ord")).alias("part"), F.col("id.source"), F.col("nth"))
-    numbers = save(store.allocate(found.select("tag", "norm", "value", order.alias("ord"))), "file-numbers")
+    numbers = store.allocate(found.select("tag", "norm", "value", order.alias("ord")))
     done = save(rewritten(texts, place(found, numbers, "id"), "id", "text"), "file-texts")
     body = done.where(F.col("source") == BODY).select("input_ord", "part_ord", "text", "replaced", "by_tag")
     names = done.where(F.col("source") == STEM).select("input_ord", sinks.redacted_stem(F.col("text")).alias("new_name"))
@@ -79,7 +79,7 @@ def clean_files(
     out = out.withColumn("fragment", F.when(F.col("sheet_name").isNotNull(), sinks.sheet_fragment(F.coalesce("new_sheet", "sheet_name"), F.col("sheet_index"))))
     books = sinks.unique_fragments(out.where("fragment is not null").select("input_ord", "part_ord", "sheet_index", "fragment")).select("input_ord", "part_ord", F.col("fragment").alias("unique"))
     out = out.join(books, ["input_ord", "part_ord"], "left").withColumn("name", F.coalesce("new_name", "name"))
-    out = save(out.withColumn("destination", sinks.destination(F.col("path"), F.col("root"), F.col("format"), F.col("name"), F.col("unique"), out_dir)), "file-outputs")
+    out = save(out.withColumn("destination", sinks.destination(F.col("path"), F.col("root"), F.col("format"), F.col("name"), F.col("unique"), out_dir)), "file-outputs", ("path", "root", "name", "sheet_name"))
     sinks.ensure_distinct(out)
     sinks.write(out).count()
     return out.select("path", "destination", "replaced", "by_tag"), skipped

@@ -12,6 +12,7 @@ from palimpsest.config import Config
 from palimpsest.operators.vault import Vault
 from palimpsest.plans.clean import clean
 from palimpsest.plans.files import parts_of
+from palimpsest.sources.formats import ConversionError, format_of, supported
 
 #: Protocol versions that are spoken, latest last. Fixed values.
 VERSIONS = ("2025-06-18", "2025-11-25")
@@ -21,6 +22,8 @@ TOOLS = [
 ]
 #: One answer for every path that isn't served, whether or not it exists.
 NOT_SERVED, FAILED = "this path is not available", "the file could not be cleaned"
+MISSING, NOT_TEXT, NOTHING = "this path does not exist", "the file is not valid UTF-8", "no placeholder is in use"
+NOT_READ = "the file could not be read as {}; it may be damaged or hold no text"
 
 
 class Roots:
@@ -40,11 +43,20 @@ class Server:
         self.spark, self.config, self.store, self.roots = spark, config, store, roots
 
     def clean(self, path: str) -> tuple[str, bool]:
+        """The cleaned text, or what is wrong, told from a closed set of causes: nothing of the file is in a message."""
         real = self.roots.admit(path)
         if real is None or not os.path.isfile(real):
-            return NOT_SERVED, True
+            return (MISSING if self.roots.roots is None else NOT_SERVED), True
+        fmt = format_of(real)
+        if fmt is None:
+            return f"files of this type aren't read; supported are {', '.join(supported(False))}", True
         try:
             parts = parts_of(self.spark, [real])[0].orderBy("part_ord").collect()
+        except ConversionError:
+            return (NOT_TEXT if fmt in ("text", "csv", "tsv") else NOT_READ.format(fmt)), True
+        except Exception:
+            return FAILED, True
+        try:
             rows = [(k, t) for p in parts for k, t in ((2 * p.part_ord, p.sheet_name), (2 * p.part_ord + 1, p.text)) if t is not None]
             done = clean(self.spark.createDataFrame(rows, "doc_id long, text string"), self.config, self.store)
             text = {r.doc_id: r.text for r in done.collect()}
@@ -53,15 +65,18 @@ class Server:
             return FAILED, True
 
     def call(self, name: str, given: dict) -> tuple[str, bool]:
-        if name == "clean" and isinstance(given.get("path"), str):
-            return self.clean(given["path"])
+        if name == "clean":
+            return self.clean(given["path"]) if isinstance(given.get("path"), str) else ("clean needs the path of a file as a string", True)
         if name == "map_list":
-            return "\n".join(f"[[{r.tag}_{r.seq}]]" for r in self.store.entries().collect()), False
-        return f"unknown tool or arguments: {name}", True
+            return "\n".join(f"[[{r.tag}_{r.seq}]]" for r in self.store.entries().collect()) or NOTHING, False
+        return f"unknown tool: {name}", True
 
     def handle(self, line: str) -> str | None:
         """The answer to one message; none to a notification. A bad message never ends the loop."""
-        fault = lambda id, code, text: json.dumps({"jsonrpc": "2.0", "id": id, "error": {"code": code, "message": text}})
+        def fault(id, code: int, text: str) -> str:
+            """An id that couldn't be read is left out, never null."""
+            return json.dumps({"jsonrpc": "2.0", **({} if id is None else {"id": id}), "error": {"code": code, "message": text}})
+
         try:
             m = json.loads(line)
         except ValueError:

@@ -8,9 +8,10 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,10 +46,36 @@ def put(value: Any, new: Callable[[], str]) -> Any:
     return {k: put(v, new) for k, v in value.items()} if isinstance(value, dict) else value
 
 
+def _strings(payload: str | None) -> list[str] | None:
+    """All strings of a JSON text; None where it is no JSON."""
+    out: list[str] = []
+    try:
+        strings(json.loads(payload), out)
+    except (TypeError, ValueError, RecursionError):
+        return None
+    return out
+
+
+def _written(payload: str | None, new: Iterable[str] | None, read: Iterable[str] | None) -> str | None:
+    if read is None:
+        return None
+    return json.dumps(put(json.loads(payload), iter([] if new is None else new).__next__), ensure_ascii=False)
+
+
 def _rows(payloads: DataFrame, column: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Strings of JSON payloads (id, column) as (id, nth, doc_id, text), and how rewritten ones go back into them."""
-    read = F.udf(lambda j: _strings(j), "array<string>")
-    write = F.udf(lambda j, s: json.dumps(put(json.loads(j), iter(s or []).__next__), ensure_ascii=False), "string")
+    """Strings of JSON payloads (id, column) as (id, nth, doc_id, text), and how rewritten ones go back into them.
+
+    A payload that is no JSON has no strings and comes back as null: what can't be read is never handed on.
+    """
+
+    @F.pandas_udf("array<string>")
+    def read(j: pd.Series) -> pd.Series:
+        return j.map(_strings)
+
+    @F.pandas_udf("string")
+    def write(j: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([_written(p, n, _strings(p)) for p, n in zip(j, new, strict=True)], dtype=object)
+
     texts = payloads.select("id", F.posexplode(read(column)).alias("nth", "text")).withColumn("doc_id", F.struct("id", "nth"))
 
     def back(done: DataFrame) -> DataFrame:
@@ -58,14 +85,8 @@ def _rows(payloads: DataFrame, column: str) -> tuple[DataFrame, Callable[[DataFr
     return texts, back
 
 
-def _strings(payload: str) -> list[str]:
-    out: list[str] = []
-    strings(json.loads(payload), out)
-    return out
-
-
 def clean_json(payloads: DataFrame, config: Config, store: Vault | None = None, column: str = "payload") -> DataFrame:
-    """payloads (id, column of JSON) with every string cleaned. Invalid JSON ends the job: see reply_after for single calls."""
+    """payloads (id, column of JSON) with every string cleaned. Ids are unique. A payload that is no JSON becomes null."""
     texts, back = _rows(payloads, column)
     return back(clean(texts, config, store))
 

@@ -161,12 +161,12 @@ def validate_luhn(spark, d):
 
 def _addresses(spark, d) -> DataFrame:
     k = F.col("s_suppkey")
-    said = F.concat(F.lit("Deliver to "), (k % 99 + 1).cast("string"), F.lit(" rue de la Paix, "), F.lpad(k.cast("string"), 5, "0"), F.lit(" Paris; ask for 3 way split. "))
+    said = F.concat(F.lit("Deliver to "), (k % 99 + 1).cast("string"), F.lit(" avenue des Tilleuls, "), F.lpad(k.cast("string"), 5, "0"), F.lit(" Toulouse; bring 2 more boxes. "))
     return table(spark, d, "supplier").select(k.alias("doc_id"), said.alias("text"))
 
 
 @query(
-    "SELECT s_suppkey AS doc_id, CAST(unnest([1, 2]) AS INTEGER) AS nth, unnest([CAST(s_suppkey % 99 + 1 AS VARCHAR) || ' rue de la Paix', lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' Paris']) AS value FROM supplier"
+    "SELECT s_suppkey AS doc_id, CAST(unnest([1, 2]) AS INTEGER) AS nth, unnest([CAST(s_suppkey % 99 + 1 AS VARCHAR) || ' avenue des Tilleuls', lpad(CAST(s_suppkey AS VARCHAR), 5, '0') || ' Toulouse']) AS value FROM supplier"
 )
 def detect_address(spark, d):
     return emitted(_addresses(spark, d), "address")

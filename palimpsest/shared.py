@@ -2,27 +2,85 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import secrets
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Folders of tables that this process has written and not yet removed, by application.
+_RUNS: dict[str, str] = {}
+#: Keys of sealed tables by application: in the driver's memory alone.
+_KEYS: dict[str, bytes] = {}
+#: Temporary folders of applications that run on this machine alone and name none.
+_LOCAL: dict[str, str] = {}
+#: The attribute of a table read back that names its folder.
+_PATH = "_palimpsest_path"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where none is named, as in tests."""
+    """spark.checkpoint.dir; a temporary folder only where none is named and all executors are on this machine, as in tests."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
-        named = "file://" + tempfile.mkdtemp(prefix="palimpsest-")
-        spark.conf.set("spark.checkpoint.dir", named)
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        named = _LOCAL.setdefault(spark.sparkContext.applicationId, "") or "file://" + tempfile.mkdtemp(prefix="palimpsest-")
+        _LOCAL[spark.sparkContext.applicationId] = named
     return named.rstrip("/")
 
 
-def save(df: DataFrame, name: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later jobs neither repeat its work nor depend on one executor."""
+def _run_dir(spark: SparkSession) -> str:
+    """This application's own folder below the shared one; it is removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _RUNS:
+        _RUNS[app] = f"{shared_dir(spark)}/palimpsest-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _RUNS[app])
+    return _RUNS[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone; what is left is sealed where it is sensitive
+        jvm = spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _keyed(df: DataFrame) -> DataFrame:
+    """df with the key of sealed tables, from a table of one row, always: never a literal of a plan."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    key = _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32))
+    return df.crossJoin(F.broadcast(spark.createDataFrame([(bytearray(key),)], "__key binary")))
+
+
+def save(df: DataFrame, name: str, sealed: Sequence[str] = ()) -> DataFrame:
+    """Writes df to the shared folder and reads it back: later jobs neither repeat its work nor depend on one executor.
+
+    The text columns named in `sealed` lie there encrypted (AES-256-GCM) under a key that only this driver's memory and
+    its running tasks hold; they are opened as they are read.
+    """
+    spark = df.sparkSession
+    path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    stored, opened = df, None
+    if sealed:
+        stored = _keyed(df).withColumns({c: F.aes_encrypt(F.encode(c, "UTF-8"), F.col("__key")) for c in sealed}).select(df.columns)
+    stored.write.option("compression", "zstd").parquet(path)
+    back = spark.read.schema(stored.schema).parquet(path)
+    if sealed:
+        opened = {c: F.decode(F.aes_decrypt(F.col(c), F.col("__key")), "UTF-8") for c in sealed}
+        back = _keyed(back).withColumns(opened).select(df.columns)
+    setattr(back, _PATH, path)
+    return back
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes saved tables that nothing will read again; others are left alone."""
+    for t in tables:
+        if path := getattr(t, _PATH, None):
+            _remove(t.sparkSession, path)
 
 
 def spread(df: DataFrame) -> DataFrame:

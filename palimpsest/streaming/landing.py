@@ -10,7 +10,8 @@ from pyspark.sql.streaming import StreamingQuery
 from palimpsest.config import Config
 from palimpsest.operators.vault import Vault
 from palimpsest.plans.clean import clean
-from palimpsest.plans.tools import _strings, clean_json
+from palimpsest.plans.tools import clean_json
+from palimpsest.shared import drop, save
 
 #: Micro-batches are folders of their own, so a repeated batch replaces what it wrote before.
 BATCH = "batch"
@@ -26,29 +27,20 @@ def clean_stream(source: DataFrame, config: Config, store: Vault, out: str, chec
 
 
 def clean_json_stream(spark: SparkSession, folder: str, config: Config, store: Vault, out: str, checkpoint: str, once: bool = True) -> StreamingQuery:
-    """Lines of JSON from a folder, their strings cleaned; equal lines of a batch are one row, and a line that is no JSON becomes a row with an error, and the stream goes on."""
+    """Lines of JSON from a folder, their strings cleaned, each line a row; one that is no JSON is a row with an error, and the stream goes on."""
     lines = spark.readStream.schema(T.StructType([T.StructField("value", T.StringType())])).text(folder)
 
     def batch(df: DataFrame, n: int) -> None:
-        rows = df.select(F.xxhash64("value").alias("id"), F.col("value").alias("payload")).dropDuplicates(["id"]).withColumn("ok", _is_json("payload"))
-        good = clean_json(rows.where("ok").select("id", "payload"), config, store).select("id", "payload", F.lit(None).cast("string").alias("error"))
-        bad = rows.where("not ok").select("id", F.lit(None).cast("string").alias("payload"), F.lit("not valid JSON").alias("error"))
-        good.unionByName(bad).write.mode("overwrite").parquet(f"{out}/{BATCH}={n}")
+        # saved once: the numbers of rows must not change between the passes over them
+        rows = save(df.select(F.monotonically_increasing_id().alias("id"), F.col("value").alias("payload")), "landing", ("payload",))
+        done = clean_json(rows, config, store)
+        error = F.when(F.col("payload").isNull(), F.lit("not valid JSON"))
+        done.select("id", "payload", error.alias("error")).write.mode("overwrite").parquet(f"{out}/{BATCH}={n}")
+        drop(rows)
 
     return _start(lines, batch, checkpoint, once)
 
 
-def _is_json(column: str):
-    def ok(s: str) -> bool:
-        try:
-            _strings(s)
-        except (TypeError, ValueError):
-            return False
-        return True
-
-    return F.udf(ok, "boolean")(column)
-
-
 def _start(source: DataFrame, batch, checkpoint: str, once: bool) -> StreamingQuery:
     w = source.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return (w.trigger(availableNow=True) if once else w).start()

@@ -10,7 +10,7 @@ from palimpsest.config import parse
 from palimpsest.operators.vault import Vault
 from palimpsest.plans import tools
 from palimpsest.plans.files import clean_files, parts_of, restore_file, review
-from palimpsest.plans.rpc import FAILED, NOT_SERVED, Roots, Server
+from palimpsest.plans.rpc import MISSING, NOT_READ, NOT_SERVED, NOT_TEXT, NOTHING, Roots, Server
 from palimpsest.sources.formats import ConversionError, format_of, supported
 from palimpsest.sources.listing import resolve
 from palimpsest.sources.readers import convert
@@ -19,11 +19,11 @@ from palimpsest.sources.sinks import CollisionError
 from palimpsest.streaming.landing import clean_json_stream, clean_stream
 
 CONFIG = parse(
-    'regions = ["FR"]\nallowlist = ["Lille"]\n[[denylist]]\nterm = "Acme Consulting SARL"\n[[denylist]]\nterm = "Jean Dupont"\nkind = "person"\n'
-    '[[patterns]]\nname = "contract number"\nregex = "CT-\\\\d{6}"\n'
+    'regions = ["FR"]\nallowlist = ["Rennes"]\n[[denylist]]\nterm = "Nordlicht Logistik GmbH"\n[[denylist]]\nterm = "Marie Lambert"\nkind = "person"\n'
+    '[[patterns]]\nname = "order number"\nregex = "ZX-\\\\d{5}"\n'
 )
-PLANTED = ["jean.dupont@acme-consulting.example", "06 12 34 56 78", "FR14 2004 1010 0505 0001 3M02 606", "4242 4242 4242 4242", "12345678200002", "192.168.14.201", "12 bis rue de la Paix", "75002 Paris", "Acme Consulting SARL", "Jean Dupont", "CT-874512"]
-BODY = "\n".join(f"Line {i}: {p}." for i, p in enumerate(PLANTED)) + "\nLille stays.\n"
+PLANTED = ["marie.lambert@nordlicht.example", "07 55 21 43 65", "DE89 3704 0044 0532 0130 00", "5555 5555 5555 4444", "83015297100032", "10.20.30.40", "7 avenue Victor Hugo", "69006 Lyon", "Nordlicht Logistik GmbH", "Marie Lambert", "ZX-40917"]
+BODY = "\n".join(f"Line {i}: {p}." for i, p in enumerate(PLANTED)) + "\nRennes stays.\n"
 W = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"'
 
 
@@ -51,7 +51,7 @@ def odt(path, inner):
 def xlsx(path, sheets):
     parts = {"xl/workbook.xml": '<workbook xmlns:r="urn:r"><sheets>' + "".join(f'<sheet name="{n}" sheetId="{i + 1}" r:id="r{i}"/>' for i, n in enumerate(sheets)) + "</sheets></workbook>"}
     parts["xl/_rels/workbook.xml.rels"] = "<Relationships>" + "".join(f'<Relationship Id="r{i}" Target="worksheets/s{i}.xml"/>' for i in range(len(sheets))) + "</Relationships>"
-    parts["xl/sharedStrings.xml"] = "<sst><si><t>Jean Dupont</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>"
+    parts["xl/sharedStrings.xml"] = "<sst><si><t>Marie Lambert</t></si><si><r><t>a</t></r><r><t>b</t></r></si></sst>"
     for i, cells in enumerate(sheets.values()):
         parts[f"xl/worksheets/s{i}.xml"] = f"<worksheet><sheetData>{cells}</sheetData></worksheet>"
     return archive(path, parts)
@@ -70,13 +70,13 @@ def pdf(path, pages, flate=True):
 
 def eml(path):
     m = EmailMessage()
-    m["From"], m["To"], m["Subject"], m["Date"] = "Jean Dupont <jean.dupont@acme-consulting.example>", "a@b.example, c@d.example", "Contrat CT-874512", "Mon, 3 Mar 2025 10:00:00 +0100"
+    m["From"], m["To"], m["Subject"], m["Date"] = "Marie Lambert <marie.lambert@nordlicht.example>", "a@b.example, c@d.example", "Order ZX-40917", "Mon, 3 Mar 2025 10:00:00 +0100"
     m.set_content(BODY)
-    m.add_alternative("<div>4242 4242 4242 4242</div><div>06 12 34 56 78</div><a href='mailto:x@y.example'>mail</a>", subtype="html")
+    m.add_alternative("<div>5555 5555 5555 4444</div><div>07 55 21 43 65</div><a href='mailto:x@y.example'>mail</a>", subtype="html")
     m.add_attachment(b"%PDF", maintype="application", subtype="pdf", filename="scan.pdf")
     inner = EmailMessage()
     inner["Subject"] = "Inner"
-    inner.set_content("inside 192.168.14.201\n")
+    inner.set_content("inside 10.20.30.40\n")
     m.add_attachment(inner)
     path.write_bytes(b"\xef\xbb\xbf" + m.as_bytes())
     return str(path)
@@ -98,11 +98,11 @@ def test_office_readers(tmp_path):
     assert text_of(docx(tmp_path / "h.docx", ["A &amp; B"], "Head")).splitlines()[0] == "Head"
     slides = {f"ppt/slides/slide{n}.xml": f'<s xmlns:a="urn:a"><a:p><a:r><a:t>S{n}</a:t></a:r></a:p></s>' for n in (10, 2, 1)} | {"ppt/notesSlides/notesSlide1.xml": '<s xmlns:a="urn:a"><a:p><a:r><a:t>N</a:t></a:r></a:p></s>', "ppt/comments/comment1.xml": "<c><text>C</text></c>", "ppt/slideLayouts/x.xml": '<p xmlns:a="urn:a"><a:t>no</a:t></p>'}
     assert text_of(archive(tmp_path / "s.pptx", slides)) == "S1\nS2\nS10\nN\nC\n"
-    inner = '<text:p>Du<text:span>pont</text:span> &amp; Fils<text:s text:c="2"/>x<office:annotation><dc:creator>Jean</dc:creator><text:p>note</text:p></office:annotation> end</text:p><text:p><draw:frame><svg:title>alt</svg:title></draw:frame>tail</text:p>'
-    assert text_of(odt(tmp_path / "o.odt", inner)) == "Dupont & Fils  x\nJean\nnote\n end\nalt\ntail\n"
-    book = xlsx(tmp_path / "b.xlsx", {"One": '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>12345678200002</v></c></row><row r="2"/><row r="3"><c r="B3" t="inlineStr"><is><t>x</t></is></c></row>', "Empty": "", "Two": '<row r="1"><c r="A1"><v>1.5</v></c><c r="B1" t="b"><v>1</v></c><c r="C1" t="s"><v>1</v></c></row>'})
+    inner = '<text:p>Lam<text:span>bert</text:span> &amp; Fils<text:s text:c="2"/>x<office:annotation><dc:creator>Marie</dc:creator><text:p>note</text:p></office:annotation> end</text:p><text:p><draw:frame><svg:title>alt</svg:title></draw:frame>tail</text:p>'
+    assert text_of(odt(tmp_path / "o.odt", inner)) == "Lambert & Fils  x\nMarie\nnote\n end\nalt\ntail\n"
+    book = xlsx(tmp_path / "b.xlsx", {"One": '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="C1"><v>83015297100032</v></c></row><row r="2"/><row r="3"><c r="B3" t="inlineStr"><is><t>x</t></is></c></row>', "Empty": "", "Two": '<row r="1"><c r="A1"><v>1.5</v></c><c r="B1" t="b"><v>1</v></c><c r="C1" t="s"><v>1</v></c></row>'})
     with open(book, "rb") as f:
-        assert convert(book, f.read()) == [(0, "One", "Jean Dupont\t\t12345678200002\n\tx\t\n"), (2, "Two", "1.5\ttrue\tab\n")]
+        assert convert(book, f.read()) == [(0, "One", "Marie Lambert\t\t83015297100032\n\tx\t\n"), (2, "Two", "1.5\ttrue\tab\n")]
 
 
 def test_what_is_not_read_in_full_is_refused(tmp_path):
@@ -117,10 +117,10 @@ def test_what_is_not_read_in_full_is_refused(tmp_path):
 
 def test_mail_and_html(tmp_path):
     text = text_of(eml(tmp_path / "m.eml"))
-    assert text.startswith("Date: Mon, 3 Mar 2025 10:00:00 +0100\nFrom: Jean Dupont <jean.dupont@acme-consulting.example>\nTo: a@b.example, c@d.example\nSubject: Contrat CT-874512\nAttachment: scan.pdf (application/pdf)\n")
-    assert "4242 4242 4242 4242\n" in text and "x@y.example" in text and "Forwarded message:\n\nSubject: Inner\n\ninside 192.168.14.201" in text
-    assert html_text("<p>Jean <b>Du</b>pont<br>x</p><div>y</div><span>78</span><span>Merci</span>") == "Jean Dupont\nx\n\ny\n\n78\nMerci"
-    assert "kept 06" in html_text("<head><style>a{}</style><body>" + "kept 06 " * 30)
+    assert text.startswith("Date: Mon, 3 Mar 2025 10:00:00 +0100\nFrom: Marie Lambert <marie.lambert@nordlicht.example>\nTo: a@b.example, c@d.example\nSubject: Order ZX-40917\nAttachment: scan.pdf (application/pdf)\n")
+    assert "5555 5555 5555 4444\n" in text and "x@y.example" in text and "Forwarded message:\n\nSubject: Inner\n\ninside 10.20.30.40" in text
+    assert html_text("<p>Marie <b>Lam</b>bert<br>x</p><div>y</div><span>78</span><span>Merci</span>") == "Marie Lambert\nx\n\ny\n\n78\nMerci"
+    assert "kept 09" in html_text("<head><style>a{}</style><body>" + "kept 09 " * 30)
 
 
 def test_listing(tmp_path):
@@ -138,17 +138,17 @@ def test_listing(tmp_path):
 def test_files_are_cleaned_without_leaks_and_restored(spark, tmp_path):
     src, out = tmp_path / "in", tmp_path / "out"
     (src / "deep").mkdir(parents=True)
-    (src / "Jean Dupont.txt").write_text(BODY)
-    (src / "deep" / "t.csv").write_text("name,mail\nJean Dupont,jean.dupont@acme-consulting.example\n")
+    (src / "Marie Lambert.txt").write_text(BODY)
+    (src / "deep" / "t.csv").write_text("name,mail\nMarie Lambert,marie.lambert@nordlicht.example\n")
     docx(src / "c.docx")
-    xlsx(src / "b.xlsx", {"Jean Dupont": '<row r="1"><c r="A1" t="s"><v>0</v></c></row>', "a/b": '<row r="1"><c r="A1"><v>1</v></c></row>', "A_B": '<row r="1"><c r="A1"><v>2</v></c></row>'})
+    xlsx(src / "b.xlsx", {"Marie Lambert": '<row r="1"><c r="A1" t="s"><v>0</v></c></row>', "a/b": '<row r="1"><c r="A1"><v>1</v></c></row>', "A_B": '<row r="1"><c r="A1"><v>2</v></c></row>'})
     store = Vault(spark, tmp_path / "v", tmp_path / "k")
     done, skipped = clean_files(spark, [str(src)], CONFIG, store, str(out), recursive=True)
     files = {os.path.relpath(r.destination, out): open(r.destination).read() for r in done.collect()}
     assert set(files) == {"PERSON_1.clean.md", "deep/t.clean.csv", "c.clean.md", "b.PERSON_1.clean.tsv", "b.a_b.clean.tsv", "b.A_B_2.clean.tsv"} and skipped == 0
     for name, text in files.items():
         assert not any(p in text for p in PLANTED), name
-    assert "Lille stays." in files["c.clean.md"] and files["deep/t.clean.csv"].startswith("name,mail\n[[PERSON_1]],[[EMAIL_1]]")
+    assert "Rennes stays." in files["c.clean.md"] and files["deep/t.clean.csv"].startswith("name,mail\n[[PERSON_1]],[[EMAIL_1]]")
     again = {r.destination: open(r.destination).read() for r in clean_files(spark, [str(src)], CONFIG, store, str(out), recursive=True)[0].collect()}
     assert {os.path.relpath(k, out): v for k, v in again.items()} == files
     text, known, unknown = restore_file(spark, str(out / "PERSON_1.clean.md"), store)
@@ -160,19 +160,19 @@ def test_files_are_cleaned_without_leaks_and_restored(spark, tmp_path):
 
 
 def test_review_keeps_rejected_values_out_of_the_vault(spark, tmp_path):
-    (tmp_path / "a.txt").write_text("Call 06 12 34 56 78 now\nand a@b.example\n")
+    (tmp_path / "a.txt").write_text("Call 07 55 21 43 65 now\nand a@b.example\n")
     store = Vault(spark, tmp_path / "v", tmp_path / "k")
     found = review(parts_of(spark, [str(tmp_path / "a.txt")])[0], CONFIG)
-    assert sorted(r.context for r in found.collect()) == ["Call 06 12 34 56 78 now", "and a@b.example"]
+    assert sorted(r.context for r in found.collect()) == ["Call 07 55 21 43 65 now", "and a@b.example"]
     edited = found.withColumn("accepted", found["tag"] != "PHONE")
     out = clean_files(spark, [str(tmp_path / "a.txt")], CONFIG, store, str(tmp_path / "o"), decisions=edited)[0].first()
-    assert open(out.destination).read() == "Call 06 12 34 56 78 now\nand [[EMAIL_1]]\n"
+    assert open(out.destination).read() == "Call 07 55 21 43 65 now\nand [[EMAIL_1]]\n"
     assert [r.tag for r in store.entries().collect()] == ["EMAIL"]
 
 
 def test_tool_replies(spark, tmp_path):
     store = Vault(spark, tmp_path / "v", tmp_path / "k")
-    given = {"tool_result": {"a@b.example": ["mail a@b.example", 1, None, True], "n": {"x": "192.168.14.201"}}}
+    given = {"tool_result": {"a@b.example": ["mail a@b.example", 1, None, True], "n": {"x": "10.20.30.40"}}}
     after = tools.reply_after(spark, json.dumps(given), CONFIG, store)
     assert '"a@b.example": ["mail [[EMAIL_1]]", 1, null, true]' in after and "[[IP_1]]" in after
     assert tools.reply_after(spark, '{"tool_result": null}', CONFIG, store) is None and tools.WITHHELD in tools.reply_after(spark, "nope", CONFIG, store)
@@ -195,7 +195,15 @@ def test_rpc(spark, tmp_path):
     say = lambda g: g["result"]["content"][0]["text"]
     assert say(got[2]) == "[[EMAIL_1]]\n" and got[3]["error"]["code"] == -32700 and got[4]["error"]["code"] == -32600
     assert say(got[5]) == "[[EMAIL_1]]" and got[6]["error"]["code"] == -32601 and got[7]["result"] == {}
-    assert [say(g) for g in got[8:]] == [NOT_SERVED, NOT_SERVED, FAILED] and all(g["result"]["isError"] for g in got[8:])
+    assert [say(g) for g in got[8:]] == [NOT_SERVED, NOT_SERVED, NOT_READ.format("docx")] and all(g["result"]["isError"] for g in got[8:])
+    assert "id" not in got[3] and "id" not in got[4]
+    (root / "pack.tar.gz").write_bytes(b"x")
+    (root / "latin.txt").write_bytes(b"na\xefve")
+    free = Server(spark, CONFIG, Vault(spark, tmp_path / "v2", tmp_path / "k"), Roots(None))
+    ask2 = lambda name, **a: json.loads(free.handle(ask(1, "tools/call", name=name, arguments=a)))["result"]
+    empty, pack, latin, gone, odd = ask2("map_list"), ask2("clean", path=str(root / "pack.tar.gz")), ask2("clean", path=str(root / "latin.txt")), ask2("clean", path=str(root / "gone.txt")), ask2("restore", path="x")
+    assert not empty["isError"] and empty["content"][0]["text"] == NOTHING and "docx" in pack["content"][0]["text"]
+    assert latin["content"][0]["text"] == NOT_TEXT and gone["content"][0]["text"] == MISSING and all(r["isError"] for r in (pack, latin, gone, odd))
 
 
 def test_streams(spark, tmp_path):
@@ -207,7 +215,7 @@ def test_streams(spark, tmp_path):
     clean_stream(src(), CONFIG, store, str(out), str(tmp_path / "c")).awaitTermination(120)
     assert [r.text for r in spark.read.parquet(str(out)).orderBy("doc_id").collect()] == ["[[EMAIL_1]]", "[[EMAIL_2]] [[EMAIL_1]]", "[[EMAIL_2]]"]
     (tmp_path / "j").mkdir()
-    (tmp_path / "j" / "a.json").write_text('{"k": "c@d.example"}\nnope\n')
+    (tmp_path / "j" / "a.json").write_text('{"k": "c@d.example"}\nnope\n{"k": "c@d.example"}\n')
     clean_json_stream(spark, str(tmp_path / "j"), CONFIG, store, str(tmp_path / "jo"), str(tmp_path / "jc")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "jo")).collect()
-    assert sorted(str(r.payload) for r in got) == ["None", '{"k": "[[EMAIL_2]]"}'] and [r.error for r in got if r.error] == ["not valid JSON"]
+    assert sorted(str(r.payload) for r in got) == ["None", '{"k": "[[EMAIL_2]]"}', '{"k": "[[EMAIL_2]]"}'] and [r.error for r in got if r.error] == ["not valid JSON"]
