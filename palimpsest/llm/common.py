@@ -13,9 +13,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.shared import save, shared_dir, spread
+from palimpsest.shared import drop, save, shared_dir, spread
 
-__all__ = ["save", "shared_dir", "spread"]
+__all__ = ["drop", "save", "shared_dir", "spread"]
 
 #: The words of a text, as the queries count them.
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -25,11 +25,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def quoted(name: str) -> str:
+    """A column's name, whatever signs it holds."""
+    return "`" + name.replace("`", "``") + "`"
+
+
+def unused(name: str, *frames: DataFrame) -> str:
+    """The name, with underscores before it until none of the tables has it."""
+    taken = {c.lower() for f in frames for c in f.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
 def id_crc(col: str, mod: int) -> Column:
     """crc32 of an id as text, modulo mod; a null id counts as empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % mod
 
 
+def smallest(df: DataFrame, chance: Column, most: int) -> DataFrame:
+    """Up to `most` rows of df, those of the smallest `chance` (a 64-bit hash, ties by nothing but it): the same in every run.
+
+    Rows above a threshold that leaves about twice as many go first, so what meets in one place doesn't grow with the table.
+    """
+    n, name = df.count(), unused("chance", df)
+    few = df.withColumn(name, chance)
+    if n > 4 * max(most, 250):
+        few = few.where(F.col(name) < F.lit(int(-(2**63) + 2**65 * max(most, 250) // n)))
+    return few.orderBy(name).limit(most).drop(name)
+
+
 class WordHashes(dict):
     """64-bit hashes of words, remembered. Forgets all when it has grown to `most` words, so memory stays bounded."""
 
