@@ -1,14 +1,15 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
-Every source is a queue of tokens. A full window of L tokens grants queue s a quantum of L * share(s); what whole
-tokens cannot express stays as the queue's deficit and is carried into the next window. With A(s) the tokens of all
-queues up to s and T those of all, the state after w windows has the closed form
-
-    taken(s, w) = floor(w L A(s) / T) - floor(w L A(s-1) / T)
-
-so any partition can enter the schedule at any window, with the deficit that a sequential run would carry there, and
-no window waits for another. Each queue is within one token of its share after every window, and all queues end
-together. Queues entitled to less than one token a window join the largest queue, which bounds the queues by L.
+Every source is a queue of tokens with a weight. Each window of L tokens grants queue s a quantum of L times its share of
+the weights of the queues that still hold tokens; a queue sends packets of a few tokens, and what its quantum doesn't pay
+for stays as its deficit and is carried into the next window. Packet j of g tokens of a queue of weight w is sent once
+(j + 1/2) g / w has been granted to each unit of weight, which pays for half of it: so the packets of all queues, sorted by that, are the schedule of
+a sequential run, and how far each queue is at any window follows from counting. Any partition enters the schedule
+anywhere, with the deficits that a sequential run would carry there, and no window waits for another.
+
+Each queue is within one packet of its entitlement after every window, and its share of the others' packets. Packets are single tokens for queues that are due
+PACKET tokens a window or more, and PACKET tokens for smaller ones, which would else be strewn over one-token pieces.
+Weights default to the queues' own sizes, so that all end together; with others, those that last longer share the rest.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from pyspark.sql import functions as F
 from palimpsest.llm.common import column_bytes, save, small, spread, table
 
 LENGTH = 4096
+#: Tokens of a packet of a queue that is due fewer tokens than these in a window.
+PACKET = 64
+#: Counts (windows times queues) that are worked on at a time.
+COUNTS = 2_000_000
 #: Rows of the (partition, source) table up to which it is broadcast; beyond, a plain join.
 BROADCAST_ROWS = 50_000
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -110,87 +115,173 @@ def _tokenize(path: str, end_id: int | None, whole: bool) -> Callable[[Iterator[
     return run
 
 
-def cut(a: int, n: int, lo: int, hi: int, total: int, length: int) -> Iterator[tuple[int, int, int, int]]:
-    """Pieces (start in the document, length, sequence, offset) of the tokens a .. a+n of the queue with A(s-1)=lo, A(s)=hi.
-
-    The last window, if it isn't full, is dealt into sequences whose lengths are the powers of two that make it up, so
-    that nothing is padded.
-    """
-    full, rest = divmod(total, length)
-    edge = lambda w, x: total and min(w * length, total) * x // total
-    taken = lambda w: edge(w, hi) - edge(w, lo)
-    w = min(full, a * total // (length * max(1, hi - lo)))
-    while w > 0 and taken(w) > a:
-        w -= 1
-    while taken(w + 1) <= a:
-        w += 1
-    done, base, nxt = 0, taken(w), taken(w + 1)
-    while done < n:
-        take = min(n - done, nxt - a - done)
-        if take > 0:
-            offset = edge(w + 1, lo) - edge(w, lo) + a + done - base
-            if w < full:
-                yield done, take, w, offset
-            else:
-                seq, left, begin = w, rest, 0
-                while left:
-                    size = 1 << (left.bit_length() - 1)
-                    x, y = max(offset, begin), min(offset + take, begin + size)
-                    if x < y:
-                        yield done + x - offset, y - x, seq, x - begin
-                    seq, left, begin = seq + 1, left - size, begin + size
-            done += take
-        w, base, nxt = w + 1, nxt, taken(w + 2)
-
-
-def _pieces(length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+class Schedule:
+    """How many tokens each queue has given at any place of the stream: all arithmetic is the same in every task."""
+
+    def __init__(self, sizes: np.ndarray, weights: np.ndarray, length: int):
+        self.sizes, self.length, self.total = np.asarray(sizes, np.int64), length, int(np.sum(sizes))
+        self.weights = np.asarray(weights, float)
+        share = self.weights / max(self.weights.sum(), 1e-300)
+        self.packets = np.where(share * length >= PACKET, 1, PACKET).astype(np.int64)
+        self.count = -(-self.sizes // self.packets)
+        # what has been granted to a unit of weight when queues run out, and the tokens of all queues then
+        ends = np.unique(np.concatenate([[0.0], self.sizes / self.weights]))
+        self.times = ends
+        self.tokens = np.minimum(self.sizes, self.weights * ends[:, None]).sum(1)
+        self.slack = int(self.packets.sum()) + len(self.sizes)
+
+    def due(self, queue, packet: np.ndarray) -> np.ndarray:
+        """When half of a packet is paid for; a queue's last one may be smaller."""
+        before = packet * self.packets[queue]
+        return (before + 0.5 * np.minimum(self.packets[queue], self.sizes[queue] - before)) / self.weights[queue]
+
+    def earlier(self, at: np.ndarray) -> np.ndarray:
+        """Packets of every queue that are due before each time (times x queues): counted, then corrected by the very
+        numbers that due() gives, so that tasks agree whatever the rounding."""
+        every = np.arange(len(self.sizes))
+        n = np.clip(np.ceil(at[:, None] * self.weights / self.packets - 0.5), 0, self.count).astype(np.int64)
+        for _ in range(2):
+            n = np.where((n > 0) & (self.due(every, n - 1) >= at[:, None]), n - 1, n)
+            n = np.where((n < self.count) & (self.due(every, n) < at[:, None]), n + 1, n)
+        return n
+
+    def given(self, places: np.ndarray) -> np.ndarray:
+        """Tokens of every queue among the first `places` tokens of the stream (places x queues). Rows sum to their place."""
+        places = np.clip(np.asarray(places, np.int64), 0, self.total)
+        low = np.interp(places - self.slack, self.tokens, self.times, left=0.0)
+        high = np.nextafter(np.interp(places + self.slack, self.tokens, self.times), np.inf) * (1 + 1e-12)
+        held = lambda n: np.minimum(n * self.packets, self.sizes)
+        # the last time before which no more than `places` tokens are due
+        for _ in range(80):
+            mid = (low + high) / 2
+            live = np.flatnonzero((mid > low) & (mid < high))
+            if not len(live):
+                break
+            fits = held(self.earlier(mid[live])).sum(1) <= places[live]
+            low[live], high[live] = np.where(fits, mid[live], low[live]), np.where(fits, high[live], mid[live])
+        n = self.earlier(low)
+        out = held(n)
+        # packets due at that very time are given in the order of the queues, the last one in part
+        after = self.earlier(np.nextafter(low, np.inf))
+        more = held(after) - out
+        left = (places - out.sum(1))[:, None]
+        return out + np.clip(left - (np.cumsum(more, 1) - more), 0, more)
+
+    def window(self, queue: int, start: int, end: int) -> np.ndarray:
+        """Numbers of the windows at whose beginnings the tokens start .. end of a queue may be cut, in order, one beyond
+        to each side. For queues of large packets, those that their packets are due in."""
+        g = int(self.packets[queue])
+        packets = np.arange(start // g, (end - 1) // g + 1) if g > 1 else np.array([start, end - 1])
+        place = np.interp(self.due(queue, packets), self.times, self.tokens)
+        low, high = np.floor((place - self.slack) / self.length).astype(np.int64), np.ceil((place + self.slack) / self.length).astype(np.int64)
+        last = -(-self.total // self.length)
+        if g == 1:
+            return np.arange(max(0, low[0]), min(last, high[-1]) + 1)
+        width = int((high - low).max()) + 1
+        return np.unique(np.clip(low[:, None] + np.arange(width + 1), 0, last))
+
+    def pieces(self, queue: int, starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, ...]:
+        """Of documents side by side in a queue: document, start in it, length, sequence and offset of each piece.
+
+        The last window, if it isn't full, is dealt into sequences whose lengths are the powers of two that make it up,
+        so that nothing is padded.
+        """
+        begin, end = int(starts[0]), int(starts[-1] + sizes[-1])
+        k = self.window(queue, begin, end)
+        # few windows at a time: a row of counts for each boundary
+        step = max(2, COUNTS // max(1, len(self.sizes)))
+        boundary, first, offset = [], [], []
+        for i in range(0, len(k), step):
+            got, nxt = self.given(k[i : i + step] * self.length), self.given((k[i : i + step] + 1) * self.length)
+            boundary.append(got[:, queue])
+            first.append(nxt[:, queue])
+            offset.append((nxt - got)[:, :queue].sum(1))
+        boundary, nxt, offset = map(np.concatenate, (boundary, first, offset))
+        some = nxt > boundary
+        k, boundary, offset = k[some], boundary[some], offset[some]
+        cuts = [starts, boundary[(boundary > begin) & (boundary < end)]]
+        full, rest = divmod(self.total, self.length)
+        powers, at = [], 0
+        while rest:
+            powers.append((at, 1 << (rest.bit_length() - 1)))
+            at, rest = at + powers[-1][1], rest - powers[-1][1]
+        if len(k) and k[-1] == full:
+            inner = boundary[-1] - offset[-1] + np.array([p for p, _ in powers], np.int64)
+            cuts.append(inner[(inner > max(begin, boundary[-1])) & (inner < end)])
+        cut = np.unique(np.concatenate(cuts))
+        length = np.diff(np.append(cut, end))
+        doc = np.searchsorted(starts, cut, side="right") - 1
+        at = np.searchsorted(boundary, cut, side="right") - 1
+        seq, place = k[at], offset[at] + cut - boundary[at]
+        late = np.flatnonzero(seq == full)
+        if len(late):
+            heads = np.array([p for p, _ in powers], np.int64)
+            part = np.searchsorted(heads, place[late], side="right") - 1
+            seq[late], place[late] = full + part, place[late] - heads[part]
+        return doc, cut - starts[doc], length, seq, place
+
+
+def _pieces(schedule, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        plan = Schedule(*schedule.value, length)
+        names = [c.split()[0] for c in OUT.split(", ")]
         for f in frames:
-            rows = []
-            for doc, ids, n, width, a, lo, hi, total in zip(f["doc_id"], f["ids"], f["n"], f["width"], f["at"], f["lo"], f["hi"], f["total"], strict=True):
-                wide = np.frombuffer(ids, f"<u{width}").astype("<u4")
-                for start, take, seq, offset in cut(int(a), int(n), int(lo), int(hi), int(total), length):
-                    rows.append((doc, start, take, zlib.crc32(wide[start : start + take]), n, seq, offset))
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in OUT.split(", ")])
+            f = f[f["n"] > 0].sort_values(["queue", "at"], kind="stable")
+            out = []
+            if len(f):
+                at, n, queue = f["at"].to_numpy(), f["n"].to_numpy(), f["queue"].to_numpy()
+                # documents side by side are cut together
+                apart = np.flatnonzero((queue[1:] != queue[:-1]) | (at[1:] != at[:-1] + n[:-1])) + 1
+                for i, j in zip(np.concatenate([[0], apart]), np.concatenate([apart, [len(f)]]), strict=True):
+                    doc, start, size, seq, place = plan.pieces(int(queue[i]), at[i:j], n[i:j])
+                    wide = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(f["ids"].iloc[i:j], f["width"].iloc[i:j], strict=True)]
+                    crc = [zlib.crc32(wide[d][s : s + m]) for d, s, m in zip(doc, start, size, strict=True)]
+                    out.append(pd.DataFrame(dict(zip(names, (f["doc_id"].iloc[i:j].array[doc], start, size, crc, n[i:j][doc], seq, place), strict=True))))
+            yield pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
 
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH, whole: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH, whole: bool = False, weights: dict[str | None, float] | None = None) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of at most `length` tokens; one row per piece.
 
-    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. A null or empty text is the end token
-    alone (without end_id: no piece). A null source is a queue of its own. Repeated rows are packed each; other columns
-    are ignored. An empty table gives no rows. Nothing is dropped: each token lies in exactly one piece.
+    Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. weights: the proportions in which windows
+    are filled, by source, 1 for those not named; without it each source weighs what it holds. Sources run out where
+    their weights ask for more than they hold; the others then share.
+
+    A null or empty text is the end token alone (without end_id: no piece); a very long one is cut over as many windows as
+    its source's share needs. A null source is a queue of its own. Repeated rows are packed each, and queues due at once
+    take turns by name; other columns are ignored, whatever their names. An empty table gives no rows. Nothing is dropped:
+    each token lies in exactly one piece.
 
     The texts are read once: their ids go to the shared folder with each row's place in its partition's part of the
     queue, and only a (partition, source) table of sums is shuffled. A source that holds most rows is spread over as
-    many partitions as before.
+    many partitions as before. A row per source goes to every task; the work of a window grows with their number.
     """
+    if weights and min(weights.values()) <= 0:
+        raise ValueError("weights must be above 0")
+    spark = docs.sparkSession
     ids = save(
         spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).mapInArrow(_tokenize(tokenizer, end_id, whole), TOKENS),
         "packing-ids",
     )
     sums = save(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("source_n"))
-    every = W.partitionBy()
-    ranked = by_source.withColumn("total", F.sum("source_n").over(every)).withColumn("first", F.row_number().over(W.orderBy(F.desc("source_n"), F.col("source").asc_nulls_last())) == 1)
-    big = ranked.withColumn("pooled", ~F.col("first") & (F.col("source_n") * F.lit(length) < F.col("total")))
-    queue = big.withColumn("queue", F.when(F.col("pooled"), F.max(F.when(F.col("first"), F.struct("source"))).over(every)).otherwise(F.struct("source")))
-    ends = queue.groupBy("queue", "total").agg(F.sum("source_n").alias("queue_n")).withColumn("hi", F.sum("queue_n").over(W.orderBy("queue"))).withColumn("lo", F.col("hi") - F.col("queue_n")).select("queue", "lo", "hi")
-    placed = (
-        sums.alias("p").join(queue.alias("q"), F.col("p.source").eqNullSafe(F.col("q.source"))).select("p.*", "q.queue", "q.pooled", "q.total").join(ends, "queue")
-        .withColumn("base", F.sum("n").over(W.partitionBy("queue").orderBy("pooled", "source", "part")) - F.col("n"))
-        .select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "base", "lo", "hi", "total")
-    )
+    queues = sorted(((r.source, r.n) for r in sums.groupBy("source").agg(F.sum("n").alias("n")).toLocalIterator()), key=lambda x: (x[0] is None, x[0] or ""))
+    sizes = np.array([n for _, n in queues], np.int64)
+    asked = np.array([float(n) if weights is None else float(weights.get(s, 1.0)) for s, n in queues])
+    schedule = spark.sparkContext.broadcast((np.maximum(sizes, 0), np.where(asked > 0, asked, 1.0)))
+    numbers = spark.createDataFrame([(s, k) for k, (s, _) in enumerate(queues)] or [(None, 0)], "q_source string, queue int")
+    placed = sums.join(F.broadcast(numbers), F.col("source").eqNullSafe(F.col("q_source")))
+    placed = placed.withColumn("base", F.sum("n").over(W.partitionBy("queue").orderBy("part")) - F.col("n")).select(F.col("part").alias("b_part"), F.col("source").alias("b_source"), "queue", "base")
     placed = save(placed, "packing-base")
     if placed.count() <= BROADCAST_ROWS:
         placed = F.broadcast(placed)
     rows = ids.join(placed, (F.col("part") == F.col("b_part")) & F.col("source").eqNullSafe(F.col("b_source")))
-    return rows.select("doc_id", "ids", "n", "width", (F.col("base") + F.col("start_in_part")).alias("at"), "lo", "hi", "total").mapInPandas(_pieces(length), OUT)
+    return rows.select("doc_id", "ids", "n", "width", "queue", (F.col("base") + F.col("start_in_part")).alias("at")).mapInPandas(_pieces(schedule, length), OUT)
 
 
 def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Packs all documents by their sources' own shares; see pack()."""
     import public_tokenizers
 
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
