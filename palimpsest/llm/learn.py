@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from palimpsest.llm.common import smallest
+
+#: Bytes of text that a classifier is fitted on at most.
+MOST_BYTES = 256 << 20
+
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 25) -> np.ndarray:
     """Weights of a logistic regression on dense features, the last weight being the intercept; by Newton's method."""
@@ -24,10 +30,13 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, held_out: Column, most: int) -> DataFrame:
-    """doc_id, text, label of up to `most` labelled documents, those of the smallest id hashes, none of them held out.
+    """doc_id, text, label of up to `most` labelled documents of MOST_BYTES of text together, none of them held out.
 
-    The sample is the same in every run. Several labels of one document count as the smallest; null labels as none.
-    Each of an id's repeated rows is in the sample.
+    They are those of the smallest id hashes: the same in every run. Several labels of one document count as the smallest;
+    null labels as none. Of rows that repeat an id, the one of the smallest text is learnt from.
     """
-    few = labels.where(F.col(label).isNotNull() & ~held_out).groupBy("doc_id").agg(F.min(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").select("doc_id", "text", "label")
+    few = labels.where(F.col(label).isNotNull() & ~held_out & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min(label).cast("int").alias("label"))
+    few = smallest(few, F.xxhash64("doc_id"), most)
+    one = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(W.orderBy(F.xxhash64("doc_id"), "doc_id"))  # of `most` rows
+    return one.withColumn("upto", upto).where(F.col("upto") <= MOST_BYTES).select("doc_id", "text", "label")

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, small, spread, table
+from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, small, spread, table, unused
 
 #: Sketch size, length of runs, runs that a pair is sure enough to share, slack of the estimate (five deviations).
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
@@ -244,7 +244,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
     Words are lower-cased (A-Z) and split at ASCII white space. Documents are linked with
     100 * intersection >= percent * union of their shingle sets. A null, empty or blank text has no shingles and is
-    linked with nothing; fewer words than a shingle make one shingle. A null doc_id is a document like others, except
+    linked with nothing; fewer words than a shingle make one shingle; a very long text is one set. A null doc_id is a document like others, except
     that null ids are never linked and have a null component. An empty table gives none.
     """
     rows, classes, links = link(docs.where("doc_id is not null"), words, percent)
@@ -259,15 +259,35 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs that near_duplicates keeps, one for each group, with all their columns; rows of a null id stay."""
-    found = save(near_duplicates(docs, words, percent).select(F.col("doc_id").alias("d_id"), "kept"), "minhash-kept")
-    gone = found.where("not kept").select("d_id").distinct()
+    """The rows of docs that near_duplicates keeps, one for each group, with all their columns whatever their names.
+
+    Rows that share an id, or have none, are documents of their own, told apart by their texts: those that aren't near
+    copies of anything all stay. Of rows that agree in id and text one stays. Null, empty and blank texts are linked with
+    nothing, so each such id keeps one row; very long texts are compared whole. Of a group the smallest id stays, or where
+    ids repeat the smallest hash. An empty table gives none.
+    """
+    key, mark = unused("key", docs), unused("again", docs)
+    id_ = F.col("doc_id").cast("long")
+    often = save(docs.groupBy(id_.alias("o_id")).count().where("count > 1 or o_id is null").select("o_id"), "minhash-repeated")
+    repeated = not often.isEmpty()
+    keyed = docs.withColumn(mark, F.lit(False)).withColumn(key, id_)
+    if repeated:
+        few = F.broadcast(often) if often.count() <= BROADCAST_IDS else often
+        same = few.select(F.col("o_id").alias(unused("o_id", keyed)))
+        o_id = same.columns[0]
+        # a marked row's key is a hash of id and text: no text is compared by anything but its whole set later on
+        keyed = docs.withColumn(key, id_).join(same.withColumn(mark, F.lit(True)), F.col(key).eqNullSafe(F.col(o_id)), "left").drop(o_id).withColumn(mark, F.coalesce(F.col(mark), F.lit(False)))
+        keyed = keyed.withColumn(key, F.when(F.col(mark), F.xxhash64(F.col(key), F.col("text").cast("string"))).otherwise(F.col(key)))
+    found = near_duplicates(keyed.select(F.col(key).alias("doc_id"), "text"), words, percent).select("doc_id", "kept")
+    gone = save(found.where("not kept").select(F.col("doc_id").alias("gone")).distinct(), "minhash-gone")
+    gone = gone.select(F.col("gone").alias(unused("gone", keyed)))
     few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    twice = found.where("kept and d_id is not null").groupBy("d_id").count().where("count > 1")
-    if not twice.isEmpty():
-        docs = docs.where("doc_id is not null").dropDuplicates(["doc_id"]).unionAll(docs.where("doc_id is null"))
-    return docs.join(few, F.col("doc_id").cast("long") == F.col("d_id"), "left_anti")
+    kept = keyed.join(few, F.col(key) == F.col(gone.columns[0]), "left_anti")
+    if repeated:
+        kept = kept.where(~F.col(mark)).unionAll(kept.where(F.col(mark)).dropDuplicates([key]))
+    return kept.drop(key, mark)
 
 
 def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicates of all documents by two-word shingles; see near_duplicates()."""
     return near_duplicates(table(spark, sf_dir, "documents"), words=2, percent=80)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import column_bytes, id_crc, shared_dir, small, spread, table
+from palimpsest.llm.common import column_bytes, id_crc, shared_dir, small, spread, table, unused
 from palimpsest.llm.learn import labelled, logistic, sigmoid
 
 #: Labelled documents that are learnt from at most.
@@ -165,8 +165,8 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column(2), pa.array([bins(m).tobytes() for m in ms], pa.binary()), pa.array([(m[:, 0] + 1).tobytes() for m in ms], pa.binary())], ["label", "bins", "lengths"])
 
 
-def _score(model, keep: bool = False):
-    """Scores of batches; keep: beside all their columns, else beside doc_id and held_out."""
+def _score(model, keep: str | None = None):
+    """Scores of batches; keep: under that name, beside all their columns, else beside doc_id and held_out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small(batches):
@@ -185,7 +185,7 @@ def _score(model, keep: bool = False):
             if each:
                 flush()
             score = pa.array(np.concatenate([*scores, np.empty(0)]), pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, "__score"]) if keep else pa.RecordBatch.from_arrays([b.column(0), b.column(1), score], ["doc_id", "held_out", "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, score], [*b.schema.names, keep]) if keep else pa.RecordBatch.from_arrays([b.column(0), b.column(1), score], ["doc_id", "held_out", "score"])
 
     return run
 
@@ -205,7 +205,8 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = S
 
     labels: doc_id, quality (1 good, 0 bad); rows that are held_out are not learnt from, and of the rest a bounded sample.
     Nothing but the text is an input. A null or empty text is one empty line. Repeated rows get equal scores. Without
-    labels of both kinds nothing is learnt and every score is 0.5. Other columns are ignored; an empty table gives none.
+    labels of both kinds nothing is learnt and every score is 0.5. Other columns are ignored; an empty table gives none. A
+    very long text is read whole, line by line; nothing is ranked, so ties don't matter.
     """
     shared_dir(docs.sparkSession)
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")))
@@ -218,15 +219,19 @@ def classify(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = S
 
 
 def keep(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE) -> DataFrame:
-    """The rows of docs, with all their columns, that the model calls good; all rows where nothing can be learnt."""
+    """The rows of docs, with all their columns whatever their names, that the model calls good.
+
+    All rows stay where nothing can be learnt. A null or empty text is one empty line; very long ones are read whole;
+    repeated rows get equal scores and stay or go together. An empty table gives none.
+    """
     shared_dir(docs.sparkSession)
     docs = spread(docs)
     model = learn(docs, labels, held_out, most)
     if model is None:
         return docs
-    names = docs.columns
-    schema = T.StructType([*(docs.schema[c] for c in names), T.StructField("__score", T.DoubleType())])
-    return docs.select(names).mapInArrow(_score(model, keep=True), schema).where("__score >= 0.5").select(names)
+    score = unused("score", docs)
+    schema = T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())])
+    return docs.mapInArrow(_score(model, score), schema).where(F.col(score) >= 0.5).drop(score)
 
 
 def line_labels(docs: DataFrame, model: Model) -> DataFrame:
@@ -245,4 +250,5 @@ def line_labels(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores all documents; see classify()."""
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), id_crc("doc_id", 3) == 1)

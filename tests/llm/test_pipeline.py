@@ -71,8 +71,21 @@ def test_mix_and_packing(stages):
 
 def test_stages_stand_odd_rows(spark, sf):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
-    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "plain words of prose here", "en", None, 5), (2, "plain words of prose here", "en", None, 5)], schema)
-    for docs in (odd, odd.limit(0), odd.selectExpr("*", "'x' as label", "1 as score", "2 as n", "true as kept", "3 as copies", "4 as size")):
+    odd = spark.createDataFrame([(None, None, None, None, None), (1, "", "en", "a", 0), (1, "", "en", "a", 0), (2, "plain words of prose here", "en", None, 5), (2, "plain words of prose here", "en", None, 5), (3, "a long text of words " * 30_000, "en", "a", 5)], schema)
+    names = ["label", "score", "_score", "__score", "n", "kept", "copies", "size", "d_id", "m_id", "m_copies", "key", "again", "gone", "o_id", "row", "tie", "queue", "at", "whole", "equal", "p", "q", "a.b"]
+    for docs in (odd, odd.limit(0), odd.selectExpr("*", *(f"'x' as `{n}`" for n in names))):
         for name, f in corpus_pipeline.STAGES[:4]:
             got = f(spark, docs, sf)
             assert got.columns == docs.columns and got.count() <= 2 * docs.count(), name
+        pieces, want = corpus_pipeline.STAGES[4][1](spark, docs, sf), docs.count()
+        assert pieces.count() >= want and pieces.where("start = 0").count() == want and pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
+def test_near_duplicates_lose_no_text_to_ids_that_repeat(spark):
+    text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
+    rows = [(0, text["a"], "de"), (0, text["b"], "de"), (0, text["b"], "en"), (None, text["c"], "fr"), (None, text["c"], "fr"), (None, text["d"], "fr"), (5, text["a"] + " more", "de"), (6, "other words entirely, six of them", "it")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, d_id string")
+    got = corpus_pipeline.STAGES[2][1](spark, docs, SF).collect()
+    assert got[0].__fields__ == docs.columns
+    texts = sorted(r.text[:2] for r in got)
+    assert texts == sorted(t[:2] for t in [text["a"], text["b"], text["c"], text["d"], "ot"])
