@@ -129,6 +129,20 @@ class Schedule:
         self.times = ends
         self.tokens = np.minimum(self.sizes, self.weights * ends[:, None]).sum(1)
         self.slack = int(self.packets.sum()) + len(self.sizes)
+        #: Windows whose counts are remembered: documents of all queues of a batch ask for much the same ones.
+        self.known, self.rows = np.empty(0, np.int64), np.empty((0, len(self.sizes)), np.int64)
+
+    def at(self, windows: np.ndarray) -> np.ndarray:
+        """Tokens of every queue before each window, from memory where they are there."""
+        new = np.setdiff1d(windows, self.known)
+        if len(new):
+            if (len(self.known) + len(new)) * max(1, len(self.sizes)) > COUNTS:
+                self.known, self.rows = self.known[:0], self.rows[:0]
+                new = np.unique(windows)
+            known = np.concatenate([self.known, new])
+            order = np.argsort(known)
+            self.known, self.rows = known[order], np.concatenate([self.rows, self.given(new * self.length)])[order]
+        return self.rows[np.searchsorted(self.known, windows)]
 
     def due(self, queue, packet: np.ndarray) -> np.ndarray:
         """When half of a packet is paid for; a queue's last one may be smaller."""
@@ -189,10 +203,11 @@ class Schedule:
         begin, end = int(starts[0]), int(starts[-1] + sizes[-1])
         k = self.window(queue, begin, end)
         # few windows at a time: a row of counts for each boundary
-        step = max(2, COUNTS // max(1, len(self.sizes)))
+        step = max(2, COUNTS // 4 // max(1, len(self.sizes)))
         boundary, first, offset = [], [], []
         for i in range(0, len(k), step):
-            got, nxt = self.given(k[i : i + step] * self.length), self.given((k[i : i + step] + 1) * self.length)
+            both = self.at(np.concatenate([k[i : i + step], k[i : i + step] + 1]))
+            got, nxt = both[: len(both) // 2], both[len(both) // 2 :]
             boundary.append(got[:, queue])
             first.append(nxt[:, queue])
             offset.append((nxt - got)[:, :queue].sum(1))
