@@ -195,7 +195,7 @@ def search(rows: DataFrame, queries, k: int = 10, orderings: int = ORDERINGS) ->
             recall = 1.0
             break
         if true is None:
-            true = save(_best(against_all(cls, picked, lambda qid, q, ids, x: nearest(qid, q, ids, x, k + 1), "q long, cid long, d double"), k + 1).where("q <> cid"), "hilbert-audit")
+            true = save(_best(against_all(cls.select("cid", "dim", "vec"), picked, lambda qid, q, ids, x: nearest(qid, q, ids, x, k + 1), "q long, cid long, d double"), k + 1).where("q <> cid"), "hilbert-audit")
         n = true.count()
         recall = true.join(found, ["q", "cid"], "left_semi").count() / n if n else 1.0
         if recall >= LEAST_RECALL or max(blocks.values(), default=1) == 1:

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import save, spread
+from palimpsest.llm.common import save, smallest, spread
 
 
 def usable(v: Column) -> Column:
@@ -33,9 +33,11 @@ def classes(rows: DataFrame, ids: int) -> tuple[DataFrame, DataFrame]:
     return good.select("vec_id", "k1", "k2"), whole
 
 
-def sample(cls: DataFrame, most: int) -> pd.DataFrame:
-    """cid, dim, vec of up to `most` classes, those of the smallest hashes: the same in every run."""
-    return cls.select("cid", "dim", "vec").orderBy(F.xxhash64("k1"), "cid").limit(most).toPandas()
+def sample(cls: DataFrame, most: int, by: str = "k1") -> pd.DataFrame:
+    """cid, dim, vec of up to `most` classes, those of the smallest hashes: the same in every run. Ids come first, vectors
+    of those alone after them."""
+    few = smallest(cls.select("cid", by), F.xxhash64(by, "cid"), most).select("cid")
+    return cls.select("cid", "dim", "vec").join(F.broadcast(few), "cid").orderBy("cid").toPandas()
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -45,13 +47,15 @@ def unit(x: np.ndarray) -> np.ndarray:
 
 
 def against_all(cls: DataFrame, queries: pd.DataFrame, found, schema: str) -> DataFrame:
-    """found(queries' vectors of one dimension, rows' cids, rows' vectors) -> columns of schema, for each block of all rows."""
+    """found(queries' ids, their vectors of one dimension, rows' columns but dim in order) -> columns of schema, for each
+    block of all rows of cls (cid, dim, vec, ...)."""
     shared = cls.sparkSession.sparkContext.broadcast({d: (g["cid"].to_numpy(), np.stack(g["vec"])) for d, g in queries.groupby("dim")})
+    rest = [c for c in cls.columns if c not in ("cid", "dim", "vec")]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for d, g in f.groupby("dim"):
                 if d in shared.value:
-                    yield found(*shared.value[d], g["cid"].to_numpy(), np.stack(g["vec"]))
+                    yield found(*shared.value[d], g["cid"].to_numpy(), *(g[c].to_numpy() for c in rest), np.stack(g["vec"]))
 
-    return cls.select("cid", "dim", "vec").mapInPandas(run, schema)
+    return cls.mapInPandas(run, schema)
