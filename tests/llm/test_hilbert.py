@@ -47,3 +47,31 @@ def test_odd_rows(spark):
     many = spark.createDataFrame([(i, [1.0, 1.0], 0) for i in range(250)] + [(1000 + i, [float(i), 2.0], 0) for i in range(40)], "vec_id long, embedding array<double>, rank int")
     near = search(many, F.col("vec_id") == 100).orderBy("rank").collect()
     assert [r.vec_id for r in near] == list(range(10)) and all(r.score == 0 for r in near)
+
+
+def test_ties_at_the_last_place_go_to_smaller_ids(spark):
+    """Sixty different vectors at one distance: more than any block keeps by approximate distances."""
+    rows = [(0, [0.0] * 59 + [1.0])] + [(1000 + i, [3.0 if j == i else 0.0 for j in range(59)] + [1.0]) for i in range(59)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = search(df, F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r.vec_id for r in got] == list(range(1000, 1010)) and all(r.score == 3.0 for r in got)
+
+
+def test_windows_in_rows_find_what_they_are_made_for(spark, monkeypatch):
+    from palimpsest.llm import hilbert
+
+    for name, value in (("SMALL", 10), ("LEAST_WINDOW", 4), ("BLOCK", 64)):
+        monkeypatch.setattr(hilbert, name, value)
+    rng = np.random.default_rng(2)
+    x = np.repeat(rng.normal(size=(200, 12)), 15, axis=0) + 0.2 * rng.normal(size=(3000, 12))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>").repartition(6)
+    got = defaultdict(set)
+    for r in search(df, F.col("vec_id") % 20 == 0, orderings=12).collect():
+        got[r.query_id].add(r.vec_id)
+        assert r.recall >= 0.85
+    hits = 0
+    for q in range(0, 3000, 20):
+        d = ((x - x[q]) ** 2).sum(1)
+        d[q] = np.inf
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 0.9 * 1500
