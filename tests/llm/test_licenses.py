@@ -1,7 +1,9 @@
 import re
 import textwrap
 
-from palimpsest.llm.licenses import TEMPLATES, find, op6_licenses, saved, scan
+import zstandard
+
+from palimpsest.llm.licenses import LEVEL, TEMPLATES, WHOLE, find, op6_licenses, saved, scan, words
 
 DOCS = "doc_id long, text string, license string"
 
@@ -25,6 +27,32 @@ def test_differences_are_counted_and_strangers_left_alone():
     assert saved(b"Released under the MIT License.")[0][1] == "MIT"
 
 
+def test_whole_texts_are_compared_to_their_end():
+    for name, body in WHOLE.items():
+        text = f"Intro, as ever.\n\nCopyright (c) 2031 Eva Sandmann\n\n{body}\n\nUnrelated prose follows here.".encode()
+        rows = scan(text)
+        (r,) = [r for r in rows if r[2] == name and r[5] == len(words(body))]
+        assert r[6:9] == (0, 0, True) and text[r[0] : r[0] + r[1]].decode().strip('"') == body.rstrip('.>/"'), name
+        last = body.split()[-4]
+        (r,) = [r for r in scan(text.replace(last.encode(), b"CHANGED")) if r[2] == name and r[5] == len(words(body))]
+        assert r[6] >= 1 and r[8], name
+
+
+def test_places_are_those_of_bytes_wherever_a_block_begins():
+    for pad in range(12):
+        text = ("é" * 70 + "x" * pad + "ü" * 40 + " licensed under the MIT License for all").encode()
+        (r,) = scan(text)
+        assert text[r[0] : r[0] + r[1]] == b"licensed under the MIT License" and r[2] == "MIT", pad
+
+
+def test_savings_are_those_of_plain_compression():
+    block = b"Licensed under the GNU Affero General Public License, version 3, as it were."
+    size = lambda **how: len(zstandard.ZstdCompressor(level=LEVEL, write_content_size=False, **how).compress(block))
+    raw = lambda t: zstandard.ZstdCompressionDict("\n".join(t).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    want = sorted(((size() - size(dict_data=raw(t)), n) for n, t in TEMPLATES.items()), key=lambda x: (-x[0], x[1]))
+    assert saved(block) == want and want[0][1] == "AGPL-3.0"
+
+
 def test_whole_table_against_plain_search(spark):
     d = "/root/testdata/sf0.01"
     got = op6_licenses(spark, d).collect()
