@@ -347,4 +347,16 @@ def near_duplicates(rows: DataFrame, overlap: int = OVERLAP) -> DataFrame:
 
 def op8_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links and components of all embeddings; see near_duplicates()."""
-    return near_duplicates(table(spark, sf_dir, "embeddings"))
+    return near_duplicates(table(spark, sf_dir, "embeddings")).drop("recall")
+
+
+ORACLE = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+u AS (SELECT vec_id, v, len(v) AS dim FROM v WHERE vec_id IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NOT NULL AND isfinite(x))) = len(v) AND len(list_filter(v, lambda x: x <> 0)) > 0),
+e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.dim = b.dim AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.95),
+r(vec, other) AS (SELECT a, b FROM e UNION SELECT r.vec, e.b FROM r JOIN e ON r.other = e.a),
+m AS (SELECT vec, min(other) AS other FROM r GROUP BY vec),
+n AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT v.vec_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_links, least(v.vec_id, coalesce(m.other, v.vec_id)) AS component_id, coalesce(m.other, v.vec_id) >= v.vec_id AS kept
+FROM v LEFT JOIN n ON n.a = v.vec_id LEFT JOIN m ON m.vec = v.vec_id
+"""

@@ -250,4 +250,13 @@ def search(rows: DataFrame, queries, k: int = 10, orderings: int = ORDERINGS) ->
 
 def op9_hilbert(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten nearest of every hundredth embedding; see search()."""
-    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+    return search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0).drop("recall")
+
+
+#: The true neighbours: what the search finds on tables of at most SMALL vectors, where windows hold all.
+ORACLE = """
+WITH u AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = len(embedding) AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.v, c.v), lambda x: (x[1] - x[2]) * (x[1] - x[2])))) AS score FROM u q JOIN u c ON len(q.v) = len(c.v) AND q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS INTEGER) AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""

@@ -21,4 +21,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_chat": chat.op10_chat,
 }
 
-ORACLE_SQL: dict[str, str] = {"op5_mixing": mixing.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_minhash": minhash.ORACLE, "op5_mixing": mixing.ORACLE, "op8_graph": graph.ORACLE, "op9_hilbert": hilbert.ORACLE, "op10_chat": chat.ORACLE}
