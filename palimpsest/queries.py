@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -10,13 +11,14 @@ from pyspark.sql import functions as F
 
 from palimpsest.config import Config, Pattern, Term
 from palimpsest.functions import checksums, kinds, patterns, text
-from palimpsest.operators import rewrite
+from palimpsest.operators import rewrite, vault
 from palimpsest.operators.detect import detect, native_matches
 from palimpsest.operators.resolve import resolve
 from palimpsest.plans import clean as plans
-from palimpsest.plans.tools import clean_json
-from palimpsest.shared import save, spread
+from palimpsest.plans.tools import clean_json, restore_json
+from palimpsest.shared import save, shared_dir, spread
 from palimpsest.sources import sinks
+from palimpsest.sources.readers import convert
 from palimpsest.sources.readers.mail import html_text
 
 #: National formats that the queries read.
@@ -228,19 +230,92 @@ def clean_documents(spark, d):
     return out.withColumn("by_tag", F.array_join(F.transform(F.map_entries("by_tag"), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))), ", "))
 
 
-@query("SELECT doc_id, text FROM documents")
+#: An address or four numbers with dots, as DuckDB finds them one after the other; and which of them are values.
+EITHER_SQL = f"(?:{EMAIL_SQL})|(?:{IPV4_SQL})"
+PLACED = f"""
+WITH cut AS (SELECT doc_id, text, string_split_regex(text, '{EITHER_SQL}') AS gaps, regexp_extract_all(text, '{EITHER_SQL}') AS hits FROM documents),
+hit AS (SELECT doc_id, unnest(generate_series(1, len(hits))) AS nth, unnest(hits) AS value FROM cut WHERE len(hits) > 0),
+tagged AS (SELECT *, CASE WHEN contains(value, '@') THEN 'EMAIL' WHEN regexp_full_match(value, '{OCTETS}([.]{OCTETS}){{3}}') THEN 'IP' END AS tag, lower(value) AS norm FROM hit),
+firsts AS (SELECT tag, norm, min((doc_id, nth)) AS ord FROM tagged WHERE tag IS NOT NULL GROUP BY tag, norm),
+numbers AS (SELECT tag, norm, row_number() OVER (PARTITION BY tag ORDER BY ord) AS seq FROM firsts),
+marks AS (SELECT t.doc_id, t.nth, t.tag, t.value, n.seq FROM tagged t LEFT JOIN numbers n ON t.tag = n.tag AND t.norm = n.norm),
+said AS (SELECT m.doc_id, string_agg(coalesce('[[' || m.tag || '_' || m.seq || ']]', m.value) || c.gaps[m.nth + 1], '' ORDER BY m.nth) AS tail, count(m.tag) AS n FROM marks m JOIN cut c USING (doc_id) GROUP BY m.doc_id)
+"""
+
+
+@query(PLACED + "SELECT c.doc_id, CASE WHEN s.doc_id IS NULL THEN c.text ELSE c.gaps[1] || s.tail END AS text, CAST(coalesce(s.n, 0) AS INTEGER) AS replaced FROM cut c LEFT JOIN said s USING (doc_id)")
+def clean_emails_and_ips(spark, d):
+    """The flagship's plan on the kinds that SQL can tell: detected with all others, numbered, and rewritten."""
+    docs = documents(spark, d)
+    found = save(plans.spans(docs, CONFIG).where("tag in ('EMAIL', 'IP')"), "spans", plans.SECRET)
+    numbers = vault.number(vault.firsts(found.select("tag", "norm", "value", F.struct("doc_id", "nth").alias("ord")))).select("tag", "norm", "seq")
+    return plans.rewritten(docs, plans.place(found, numbers, "doc_id"), "doc_id", "text").select("doc_id", "text", "replaced")
+
+
+@query(PLACED + "SELECT count(tag) || ' replaced' || coalesce(': ' || (SELECT string_agg(tag || ' ' || n, ', ' ORDER BY tag) FROM (SELECT tag, count(*) AS n FROM marks WHERE tag IS NOT NULL GROUP BY tag)), '') AS summary FROM marks")
+def summary_of_emails_and_ips(spark, d):
+    found = plans.spans(documents(spark, d), CONFIG).where("tag in ('EMAIL', 'IP')").groupBy("doc_id", "tag").agg(F.count("*").cast("int").alias("n"))
+    return plans.summary(found.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("tag", "n"))).alias("by_tag")))
+
+
+@query(f"SELECT c_custkey AS doc_id, 'Write to ' || first_value(CASE WHEN c_custkey % 2 = 0 THEN 'user' ELSE 'USER' END) OVER (PARTITION BY c_custkey // 3 ORDER BY c_custkey) || '.' || (c_custkey // 3) || '@x.example, or not.' AS text, '[[EMAIL_' || dense_rank() OVER (ORDER BY c_custkey // 3) || ']]' AS mark, CAST(1 AS INTEGER) AS restored, CAST(0 AS INTEGER) AS unknown FROM customer")
 def restore_roundtrip(spark, d):
-    """Cleaned and restored again. Values with several spellings come back in their first, which these tables don't have."""
-    cleaned, values = plans.clean_with_values(documents(spark, d), CONFIG)
-    return rewrite.restore(cleaned.select("doc_id", "text"), values).select("doc_id", "text")
+    """Cleaned and restored again: every customer's text holds an address, which others spell otherwise. The first spelling
+    comes back, and the placeholder stands in a column of its own."""
+    k = F.col("c_custkey")
+    said = F.concat(F.lit("Write to "), F.when(k % 2 == 0, "user").otherwise("USER"), F.lit("."), F.floor(k / 3).cast("string"), F.lit("@x.example, or not."))
+    cleaned, values = plans.clean_with_values(table(spark, d, "customer").select(k.alias("doc_id"), said.alias("text")), CONFIG)
+    mark = F.regexp_extract("text", text.PLACEHOLDER, 0)
+    return rewrite.restore(cleaned.select("doc_id", "text", mark.alias("mark")), values).select("doc_id", "text", "mark", "restored", "unknown")
 
 
 @query(f"SELECT 'EMAIL' AS tag, row_number() OVER (ORDER BY doc_id, nth) AS seq, norm, value FROM (SELECT lower(value) AS norm, doc_id, nth, value, row_number() OVER (PARTITION BY lower(value) ORDER BY doc_id, nth) AS r FROM ({EMAILS})) WHERE r = 1")
 def vault_allocate(spark, d):
-    from palimpsest.operators.vault import firsts, number
-
     found = plans.spans(documents(spark, d), CONFIG).where("tag = 'EMAIL'")
-    return number(firsts(found.select("tag", "norm", "value", F.struct("doc_id", "nth").alias("ord")))).select("tag", "seq", "norm", "value")
+    return vault.number(vault.firsts(found.select("tag", "norm", "value", F.struct("doc_id", "nth").alias("ord")))).select("tag", "seq", "norm", "value")
+
+
+def _vault(spark) -> vault.Vault:
+    """A vault of its own in the shared folder."""
+    folder = f"{shared_dir(spark).removeprefix('file:')}/queries-{uuid.uuid4().hex}"
+    return vault.Vault(spark, f"{folder}/vault", f"{folder}/key")
+
+
+@query(f"SELECT 'EMAIL' AS tag, row_number() OVER (ORDER BY doc_id, nth) AS seq, value FROM (SELECT doc_id, nth, value, row_number() OVER (PARTITION BY lower(value) ORDER BY doc_id, nth) AS r FROM ({EMAILS})) WHERE r = 1")
+def vault_seal_and_open(spark, d):
+    """Addresses numbered, sealed into a vault twice over, which changes nothing, and opened again."""
+    found, store = plans.spans(documents(spark, d), CONFIG).where("tag = 'EMAIL'").select("tag", "norm", "value", F.struct("doc_id", "nth").alias("ord")), _vault(spark)
+    for _ in range(2):
+        store.allocate(found)
+    return store.values()
+
+
+_PROPS = """'{"k@x.example": ' || event_id || ', "who": ["user' || user_id || '@x.example", null, true], "of": {"x": "' || event_type || '"}}'"""
+
+
+@query(f"SELECT event_id, {_PROPS} AS props FROM events")
+def restore_event_props(spark, d):
+    """JSON cleaned into a vault, which clean_event_props shows, and restored from it."""
+    store, rows = _vault(spark), _props(spark, d)
+    cleaned = save(clean_json(rows, CONFIG, store), "props")
+    return restore_json(cleaned, store).select(F.col("id").alias("event_id"), F.col("payload").alias("props"))
+
+
+@query("SELECT c_custkey, 'From: Ann <a' || c_custkey || '@x.example>' || chr(10) || 'Subject: No. ' || c_custkey || chr(10) || 'Attachment: list.csv (text/csv)' || chr(10) || chr(10) || 'Bill ' || c_custkey || ' & more' || chr(10) || 'tel ' || c_custkey || chr(10) AS text FROM customer")
+def read_mail(spark, d):
+    """Messages of two parts, one of them HTML, as the text that their reader gives."""
+    k = F.col("c_custkey").cast("string")
+    mail = F.concat(
+        F.lit("\ufeffX-Odd: 1\r\nFrom: Ann <a"), k, F.lit("@x.example>\r\nSubject: No. "), k,
+        F.lit('\r\nMIME-Version: 1.0\r\nContent-Type: multipart/mixed; boundary="b"\r\n\r\n--b\r\nContent-Type: text/html\r\n\r\n<style>p{}</style><p>Bill '), k,
+        F.lit(' &amp; <b>mo</b>re<div>tel '), k, F.lit('</div>\r\n--b\r\nContent-Type: text/csv\r\nContent-Disposition: attachment; filename="list.csv"\r\n\r\na,b\r\n--b--\r\n'),
+    )
+
+    @F.pandas_udf("string")
+    def read(s: pd.Series) -> pd.Series:
+        return s.map(lambda m: "".join(part[2] for part in convert("m.eml", m.encode())))
+
+    return spread(table(spark, d, "customer").select("c_custkey", mail.alias("m"))).select("c_custkey", read("m").alias("text"))
 
 
 @query(f"SELECT tag, count(*) AS n FROM (SELECT 'EMAIL' AS tag FROM ({EMAILS}) UNION ALL SELECT 'IP' AS tag FROM ({IPS})) GROUP BY tag")
@@ -262,11 +337,22 @@ _by("lang")
 _by("source")
 
 
-@query("SELECT CAST(0 AS BIGINT) AS left_over")
+@query("SELECT kind, CAST(0 AS BIGINT) AS left_over, count(*) AS replaced FROM (SELECT unnest(['email', 'iban', 'ip', 'siren', 'siret', 'address']) AS kind FROM customer) GROUP BY kind")
 def leak_check(spark, d):
-    """How many addresses can be found in cleaned texts."""
-    out = plans.clean(documents(spark, d), CONFIG)
-    return out.agg(F.coalesce(F.sum(F.size(F.regexp_extract_all("text", F.lit(patterns.EMAIL), F.lit(0)))), F.lit(0)).cast("long").alias("left_over"))
+    """How many of the values planted in texts, one of each kind for each customer, are found in the cleaned texts."""
+    k = F.col("doc_id")
+    bban = F.lpad(k.cast("string"), 23, "7")
+    rest = F.aggregate(F.split(F.concat(bban, F.lit("152700")), ""), F.lit(0), lambda a, c: (a * 10 + c.cast("int")) % 97)
+    kinds_ = {
+        "email": F.concat(F.lit("u"), k.cast("string"), F.lit("@mail.example")), "iban": F.concat(F.lit("FR"), F.lpad((98 - rest).cast("string"), 2, "0"), bban),
+        "ip": F.concat_ws(".", F.lit("10"), (k % 200).cast("string"), F.floor(k / 200 % 200).cast("string"), F.lit("7")), "siren": F.col("siren"), "siret": F.col("siret"),
+        "address": F.concat((k % 90 + 1).cast("string"), F.lit(" avenue des Tilleuls")),
+    }
+    planted = _sirens(spark, d).select(k, F.map_from_arrays(F.array(*map(F.lit, kinds_)), F.array(*kinds_.values())).alias("planted"))
+    planted = planted.withColumn("text", F.concat(F.lit("Seen: "), F.array_join(F.map_values("planted"), " ; "), F.lit(" .")))
+    out = plans.clean(planted, CONFIG)
+    each = out.select("text", "replaced", F.explode("planted").alias("kind", "value"))
+    return each.groupBy("kind").agg(F.count_if(F.contains("text", F.col("value"))).alias("left_over"), F.count_if(F.col("replaced") == len(kinds_)).alias("replaced"))
 
 
 @query()
@@ -280,11 +366,15 @@ def clean_conversations(spark, d):
     return plans.clean(rows.select("doc_id", "conv_id", "turn", "role", "text"), CONFIG).select("conv_id", "turn", "role", "text", "replaced")
 
 
-@query("SELECT event_id, props FROM events")
+def _props(spark, d) -> DataFrame:
+    body = F.concat(F.lit('{"k@x.example": '), F.col("event_id").cast("string"), F.lit(', "who": ["user'), F.col("user_id").cast("string"), F.lit('@x.example", null, true], "of": {"x": "'), F.col("event_type"), F.lit('"}}'))
+    return table(spark, d, "events").select(F.col("event_id").alias("id"), body.alias("payload"))
+
+
+@query("""SELECT event_id, '{"k@x.example": ' || event_id || ', "who": ["[[EMAIL_' || dense_rank() OVER (ORDER BY first) || ']]", null, true], "of": {"x": "' || event_type || '"}}' AS props FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS first FROM events)""")
 def clean_event_props(spark, d):
-    """JSON whose strings hold nothing sensitive comes back as it was."""
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), F.col("props").alias("payload"))
-    return clean_json(rows, CONFIG).select(F.col("id").alias("event_id"), F.col("payload").alias("props"))
+    """JSON whose strings hold addresses, numbered by first occurrence; keys and all else are left as they are."""
+    return clean_json(_props(spark, d), CONFIG).select(F.col("id").alias("event_id"), F.col("payload").alias("props"))
 
 
 @query()
