@@ -130,11 +130,14 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = save(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "cc-edges")
     labels = save(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("a"), F.min("b")).alias("label")), "cc-labels")
+    kept = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         up = labels.select(F.col("node").alias("label"), F.col("label").alias("up"))
         new = save(step.join(up, "label").select("node", "old", F.least("label", "up").alias("label")), "cc-labels")
         if new.where("old <> label").isEmpty():
+            drop(new, both)
             return labels
-        labels = new.drop("old")
+        drop(kept)
+        labels, kept = new.drop("old"), new

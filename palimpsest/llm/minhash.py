@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, components, lists, mix, save, shingles, small, spread, table, unused
+from palimpsest.llm.common import WordHashes, column_bytes, components, drop, lists, mix, save, shingles, small, spread, table, unused
 
 #: Sketch size, length of runs, runs that a pair is sure enough to share, slack of the estimate (five deviations).
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
@@ -106,6 +106,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     mine = mine.withColumn("use", (F.col("k") - sure + 1 - (F.col("k") - F.size("by_df"))).cast("int")).where("use > 0")
     post = mine.select("rep", "n", F.size("by_df").alias("met"), F.explode(F.slice("by_df", F.lit(1), F.col("use"))).alias("x")).select("x.key", "rep", "n", "met")
     post = save(post, "minhash-lists")
+    drop(runs)
 
     tested = same.select("a", "b", F.lit(True).alias("linked"))
     best = F.max(F.struct("met", (-F.col("rep")).alias("r"), "n"))
@@ -118,9 +119,10 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
 
     for turn in range(1, TURNS + 1):
         labels = components(tested.where("linked").select("a", "b"))
-        p = save(post.join(labels, post["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labels")
-        mixed = p.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key")
-        p = save(p.join(save(mixed, "minhash-mixed"), "key"), "minhash-open")
+        every = save(post.join(labels, post["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labels")
+        mixed = save(every.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
+        p = save(every.join(mixed, "key"), "minhash-open")
+        drop(every, mixed)
         if p.isEmpty():
             break
         if turn < TURNS:
@@ -133,7 +135,9 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
             more = met.groupBy("main", "i", "j").applyInPandas(_compare(percent), "a long, b long").distinct().withColumn("linked", F.lit(True))
             tested = save(tested.unionByName(more), "minhash-tested")
         pairs = save(pairs.distinct().join(tested, ["a", "b"], "left_anti"), "minhash-pairs")
-        tested = save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
+        before, tested = tested, save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
+        drop(before, pairs, p)
+    drop(post)
     return rows, classes, tested.where("linked").select("a", "b")
 
 
