@@ -52,7 +52,7 @@ class ChunkEncoder(dict):
     tokenizer's merges; a tail of punctuation is cut off a chunk; everything else takes the tokenizer's full way.
     """
 
-    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = 1_000_000):
+    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = 400_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -240,7 +240,7 @@ def _pieces(schedule, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = Schedule(*schedule.value, length)
         names = [c.split()[0] for c in OUT.split(", ")]
-        for f in frames:
+        for f in (f.iloc[k : k + 1024] for f in frames for k in range(0, len(f), 1024)):
             f = f[f["n"] > 0].sort_values(["queue", "at"], kind="stable")
             out = []
             if len(f):
@@ -249,8 +249,8 @@ def _pieces(schedule, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
                 apart = np.flatnonzero((queue[1:] != queue[:-1]) | (at[1:] != at[:-1] + n[:-1])) + 1
                 for i, j in zip(np.concatenate([[0], apart]), np.concatenate([apart, [len(f)]]), strict=True):
                     doc, start, size, seq, place = plan.pieces(int(queue[i]), at[i:j], n[i:j])
-                    wide = [np.frombuffer(x, f"<u{w}").astype("<u4") for x, w in zip(f["ids"].iloc[i:j], f["width"].iloc[i:j], strict=True)]
-                    crc = [zlib.crc32(wide[d][s : s + m]) for d, s, m in zip(doc, start, size, strict=True)]
+                    ids, width = f["ids"].iloc[i:j].array, f["width"].iloc[i:j].array
+                    crc = [zlib.crc32(np.frombuffer(ids[d], f"<u{width[d]}", m, s * width[d]).astype("<u4")) for d, s, m in zip(doc, start, size, strict=True)]
                     out.append(pd.DataFrame(dict(zip(names, (f["doc_id"].iloc[i:j].array[doc], start, size, crc, n[i:j][doc], seq, place), strict=True))))
             yield pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in names})
 
