@@ -40,7 +40,7 @@ def convert(path: str, data: bytes, ocr: Ocr | None = None) -> list[Part]:
         return list(office.xlsx(data))
     if fmt in ("csv", "tsv"):
         return [(None, None, _utf8(data))]
-    read = {"text": _utf8, "docx": office.docx, "pptx": office.pptx, "odt": office.odt, "eml": mail.eml, "pdf": pdf.pdf}[fmt]
+    read = {"text": _utf8, "docx": office.docx, "pptx": office.pptx, "odt": office.odt, "eml": mail.eml, "pdf": lambda x: pdf.pdf(x, ocr)}[fmt]
     return [(None, None, tidy_text(read(data)))]
 
 

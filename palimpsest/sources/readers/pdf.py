@@ -4,11 +4,14 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections.abc import Callable
 
 from palimpsest.sources.formats import ConversionError
 
 #: Visible characters below which a page counts as thin, and depth to which page trees are followed.
 THIN, DEPTH = 8, 32
+#: Bytes of an unpacked stream at most, and depth to which forms within forms are followed.
+MOST, FORMS = 256 << 20, 12
 _OBJECT = re.compile(rb"(\d+)\s+(\d+)\s+obj\b(.*?)\bendobj", re.S)
 _STREAM = re.compile(rb"(.*?)\bstream\r?\n(.*?)\r?\n?endstream", re.S)
 _REF = rb"(\d+)\s+\d+\s+R"
@@ -22,7 +25,9 @@ def _inflate(head: bytes, body: bytes) -> bytes:
         if n != b"FlateDecode":
             raise ConversionError("a page is compressed in a way that isn't read")
         d = zlib.decompressobj()
-        body = d.decompress(body, 256 << 20)
+        body = d.decompress(body, MOST)
+        if d.unconsumed_tail:
+            raise ConversionError("a stream is too large to be read in full")
     return body
 
 
@@ -40,10 +45,19 @@ class _Document:
 
     def entry(self, raw: bytes, key: bytes) -> bytes | None:
         """The value of a key, a reference being followed."""
-        m = re.search(rb"/" + key + rb"\b\s*(?:" + _REF + rb"|(\[[^\]]*\]|<<.*?>>(?=\s*(?:/|>>|$))|[^/>\[]+))", raw, re.S)
+        m = re.search(rb"/" + key + rb"\b\s*(?:" + _REF + rb"|(<<)|(\[[^\]]*\]|[^/>\[]+))", raw, re.S)
         if not m:
             return None
-        return self.objects.get(int(m[1]), b"") if m[1] else m[2]
+        if m[1]:
+            return self.objects.get(int(m[1]), b"")
+        if not m[2]:
+            return m[3]
+        depth = 0
+        for t in re.finditer(rb"<<|>>", raw[m.start(2) :]):
+            depth += 1 if t[0] == b"<<" else -1
+            if not depth:
+                return raw[m.start(2) : m.start(2) + t.end()]
+        return raw[m.start(2) :]
 
     def pages(self) -> list[bytes]:
         root = next((o for o in self.objects.values() if re.search(rb"/Type\s*/Catalog\b", o)), b"")
@@ -70,6 +84,37 @@ class _Document:
         m = _STREAM.match(self.objects.get(num, b""))
         return _inflate(m[1], m[2]) if m else b""
 
+    def drawn(self, page: bytes) -> dict[bytes, int]:
+        """Numbers of the forms and images that a page or form can draw, by name."""
+        res = self.entry(page, b"Resources") or page
+        return {name: int(num) for name, num in re.findall(rb"/(\S+)\s+" + _REF, self.entry(res, b"XObject") or b"")}
+
+    def text(self, page: bytes, content: bytes, images: list[int], fonts: dict | None = None, depth: int = 0) -> str:
+        """The text of a page or form, with that of the forms it draws; images are noted."""
+        if depth > FORMS:
+            raise ConversionError("forms are nested too deep")
+        own = self.fonts(page) if fonts is None or b"/Resources" in page else fonts
+        drawn = self.drawn(page)
+
+        def draw(name: bytes) -> str:
+            num = drawn.get(name)
+            m = _STREAM.match(self.objects.get(num, b""))
+            if m is None:
+                return ""
+            if re.search(rb"/Subtype\s*/Form\b", m[1]):
+                return f"\n{self.text(m[1], self.stream(num), images, own, depth + 1)}\n"
+            images.append(num)
+            return ""
+
+        return _page(content, own, draw)
+
+    def image(self, num: int) -> bytes:
+        """An image as its file, where it is kept as one."""
+        m = _STREAM.match(self.objects[num])
+        if re.findall(rb"/(\w+Decode)\b", m[1]) not in ([b"DCTDecode"], [b"JPXDecode"]):
+            raise ConversionError("an image is packed in a way that isn't read")
+        return m[2]
+
     def fonts(self, page: bytes) -> dict[bytes, dict[bytes, str] | None]:
         """Maps from codes to text by font name; None: one byte is one Latin character."""
         out: dict[bytes, dict[bytes, str] | None] = {}
@@ -116,7 +161,7 @@ def _shown(raw: bytes, font: dict[bytes, str] | None) -> str:
     return "".join(font.get(raw[i : i + n], "") for i in range(0, len(raw), n))
 
 
-def _page(content: bytes, fonts: dict[bytes, dict[bytes, str] | None]) -> str:
+def _page(content: bytes, fonts: dict[bytes, dict[bytes, str] | None], draw: Callable[[bytes], str] = lambda name: "") -> str:
     out, stack, font, line = [], [], None, None
     for m in _TOKEN.finditer(content):
         t = m[0]
@@ -140,12 +185,15 @@ def _page(content: bytes, fonts: dict[bytes, dict[bytes, str] | None]) -> str:
             line = stack[-1]
         elif t in (b"T*", b"ET"):
             out.append("\n")
+        elif t == b"Do" and stack:
+            out.append(draw(stack[-1][1:]))
         stack = []
     return re.sub(r"\n{2,}", "\n", re.sub(r"[ \t]+", " ", "".join(out))).strip()
 
 
-def pdf(data: bytes) -> str:
-    """Pages by blank lines. No pages, or one that shows next to nothing, is refused: it may be a scan."""
+def pdf(data: bytes, ocr: Callable[[bytes], str] | None = None) -> str:
+    """Pages by blank lines, with the text of the forms that they draw. The images of a page that shows next to nothing are
+    read by the OCR layer, where one is given; no pages, or one that stays blank, is refused: it may be a scan."""
     if not data.lstrip().startswith(b"%PDF"):
         raise ConversionError("not a PDF")
     if b"/Encrypt" in data:
@@ -159,7 +207,10 @@ def pdf(data: bytes) -> str:
         for k, p in enumerate(pages):
             m = re.search(rb"/Contents\s*(?:\[([^\]]*)\]|" + _REF + rb")", p)
             nums = re.findall(_REF, m[1]) if m and m[1] else [m[2]] if m else []
-            text = _page(b"\n".join(doc.stream(int(n)) for n in nums), doc.fonts(p))
+            images: list[int] = []
+            text = doc.text(p, b"\n".join(doc.stream(int(n)) for n in nums), images)
+            if ocr and images and sum(not c.isspace() for c in text) < THIN:
+                text = "\n".join(filter(str.strip, (text, *(ocr(doc.image(n)) for n in dict.fromkeys(images)))))
             if not text.strip():
                 raise ConversionError(f"page {k + 1} has no text; it may be a scanned image, which this build doesn't read")
             texts.append(text)

@@ -115,6 +115,29 @@ def test_what_is_not_read_in_full_is_refused(tmp_path):
             text_of(path)
 
 
+def test_pdf_forms_thin_pages_and_large_streams(tmp_path, monkeypatch):
+    from palimpsest.sources.readers import pdf as reader
+
+    def page(content, extra):
+        objs = {1: b"<< /Type /Catalog /Pages 2 0 R >>", 2: b"<< /Type /Pages /Count 1 /Kids [4 0 R] >>", 3: b"<< /Type /Font /Subtype /Type1 >>", 5: b"<< /Length 1 >>\nstream\n" + content + b"\nendstream"}
+        objs[4] = b"<< /Type /Page /Parent 2 0 R /Resources << /Font << /F1 3 0 R >> /XObject << /Fm 6 0 R /Im 8 0 R >> >> /Contents 5 0 R >>"
+        return b"%PDF-1.4\n" + b"".join(b"%d 0 obj\n%s\nendobj\n" % (k, v) for k, v in (objs | extra).items()) + b"trailer << /Root 1 0 R >>"
+
+    packed = zlib.compress(b"BT /F1 9 Tf (within a form) Tj ET /In Do")
+    forms = {6: b"<< /Subtype /Form /Filter /FlateDecode /Resources << /Font << /F1 3 0 R >> /XObject << /In 7 0 R >> >> >>\nstream\n" + packed + b"\nendstream", 7: b"<< /Subtype /Form >>\nstream\nBT /F1 9 Tf (and a form in that) Tj ET\nendstream", 8: b"<< /Subtype /Image /Filter /DCTDecode >>\nstream\nJPEG\nendstream"}
+    text = reader.pdf(page(b"BT /F1 9 Tf (on the page) Tj ET /Fm Do", forms))
+    assert text.split("\n") == ["on the page", "within a form", "and a form in that", ""]
+    scan = page(b"/Im Do", forms)
+    with pytest.raises(ConversionError):
+        reader.pdf(scan)
+    assert reader.pdf(scan, lambda image: f"read {image.decode()}") == "read JPEG\n"
+    loop = {6: b"<< /Subtype /Form /Resources << /XObject << /Fm 6 0 R >> >> >>\nstream\n/Fm Do\nendstream"}
+    monkeypatch.setattr(reader, "MOST", 20)
+    for bad in (page(b"/Fm Do", loop), page(b"/Fm Do", forms)):
+        with pytest.raises(ConversionError):
+            reader.pdf(bad)
+
+
 def test_mail_and_html(tmp_path):
     text = text_of(eml(tmp_path / "m.eml"))
     assert text.startswith("Date: Mon, 3 Mar 2025 10:00:00 +0100\nFrom: Marie Lambert <marie.lambert@nordlicht.example>\nTo: a@b.example, c@d.example\nSubject: Order ZX-40917\nAttachment: scan.pdf (application/pdf)\n")
