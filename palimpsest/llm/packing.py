@@ -52,7 +52,7 @@ class ChunkEncoder(dict):
     tokenizer's merges; a tail of punctuation is cut off a chunk; everything else takes the tokenizer's full way.
     """
 
-    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = 400_000):
+    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = 500_000):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -240,7 +240,7 @@ def _pieces(schedule, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         plan = Schedule(*schedule.value, length)
         names = [c.split()[0] for c in OUT.split(", ")]
-        for f in (f.iloc[k : k + 1024] for f in frames for k in range(0, len(f), 1024)):
+        for f in (f.iloc[k : k + 4096] for f in frames for k in range(0, len(f), 4096)):
             f = f[f["n"] > 0].sort_values(["queue", "at"], kind="stable")
             out = []
             if len(f):
