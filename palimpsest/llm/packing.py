@@ -33,6 +33,8 @@ LENGTH = 4096
 PACKET = 64
 #: Counts (windows times queues) that are worked on at a time.
 COUNTS = 2_000_000
+#: Chunks of text whose ids a task remembers at most (some 200 bytes each).
+CHUNKS = 500_000
 #: Rows of the (partition, source) table up to which it is broadcast; beyond, a plain join.
 BROADCAST_ROWS = 50_000
 OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
@@ -52,7 +54,7 @@ class ChunkEncoder(dict):
     tokenizer's merges; a tail of punctuation is cut off a chunk; everything else takes the tokenizer's full way.
     """
 
-    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = 500_000):
+    def __init__(self, path: str, end_id: int | None, whole: bool = False, most: int = CHUNKS):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -95,12 +97,12 @@ class ChunkEncoder(dict):
 TOKENS = "doc_id long, source string, part int, start_in_part long, n long, width int, ids binary"
 
 
-def _tokenize(path: str, end_id: int | None, whole: bool) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+def _tokenize(path: str, end_id: int | None, whole: bool, most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        encode, at, part = ChunkEncoder(path, end_id, whole), {}, TaskContext.get().partitionId()
+        encode, at, part = ChunkEncoder(path, end_id, whole, most), {}, TaskContext.get().partitionId()
         width = encode.dtype.itemsize
         for b in small(batches):
             ids, starts = list(map(encode.raw, column_bytes(b, "text"))), []
@@ -257,12 +259,13 @@ def _pieces(schedule, length: int) -> Callable[[Iterator[pd.DataFrame]], Iterato
     return run
 
 
-def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH, whole: bool = False, weights: dict[str | None, float] | None = None) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int = LENGTH, whole: bool = False, weights: dict[str | None, float] | None = None, most: int = CHUNKS) -> DataFrame:
     """Packs docs (doc_id, text, source) into sequences of at most `length` tokens; one row per piece.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. weights: the proportions in which windows
     are filled, by source, 1 for those not named; without it each source weighs what it holds. Sources run out where
-    their weights ask for more than they hold; the others then share.
+    their weights ask for more than they hold; the others then share. most: chunks of text that a task remembers; it bounds
+    memory and changes no result.
 
     A null or empty text is the end token alone (without end_id: no piece); a very long one is cut over as many windows as
     its source's share needs. A null source is a queue of its own. Repeated rows are packed each, and queues due at once
@@ -277,7 +280,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int | None = 2, length: int =
         raise ValueError("weights must be above 0")
     spark = docs.sparkSession
     ids = save(
-        spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).mapInArrow(_tokenize(tokenizer, end_id, whole), TOKENS),
+        spread(docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.col("source").cast("string"))).mapInArrow(_tokenize(tokenizer, end_id, whole, most), TOKENS),
         "packing-ids",
     )
     sums = save(ids.groupBy("part", "source").agg(F.sum("n").alias("n")), "packing-sums")

@@ -146,3 +146,9 @@ def test_chunk_memory_encodes_as_the_tokenizer_does(spark, sf):
     texts = odd + odd[0].split() + [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("text").collect()]
     for t in texts:
         assert np.frombuffer(enc(t), enc.dtype).tolist() == tok.encode(t, add_special_tokens=False).ids, t[:80]
+
+
+def test_what_a_task_remembers_changes_no_result(spark):
+    docs = spark.createDataFrame([(i, f"word{i} again, again and word{i % 3}!", "ab"[i % 2]) for i in range(40)], "doc_id long, text string, source string")
+    few, many = (sorted(pack(docs, PATH, length=64, most=m).collect()) for m in (1, 500_000))
+    assert few == many and len({p.doc_id for p in few}) == 40
