@@ -11,6 +11,9 @@ from pyspark.sql import DataFrame, SparkSession
 from palimpsest.llm import minhash, mixing, packing, quality, toxicity
 from palimpsest.llm.common import id_crc, save, table
 
+#: Chunks that packing remembers here: its workers have served the stages before and hold more than those of op3_packing.
+CHUNKS = 400_000
+
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the line model calls good."""
@@ -34,7 +37,7 @@ def to_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 4096 tokens; a document that is taken twice is packed twice."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), most=CHUNKS)
 
 
 STAGES = [("quality", good_quality), ("toxicity", not_toxic), ("near_duplicates", one_of_each), ("mixing", to_weights), ("packing", packed)]
