@@ -23,18 +23,20 @@ from pyspark.sql import functions as F
 
 from palimpsest.llm.common import WordHashes, column_bytes, id_crc, save, shared_dir, small, spread, table
 
-#: Words with a symbol of their own at most (64 bytes each in the model), hidden states, Baum-Welch passes over all training texts.
+#: Words with a symbol of their own at most (64 bytes each in the model), hidden states, Baum-Welch passes after the first START_PASSES.
 TOP, STATES, PASSES = 131_072, 8, 2
 #: A word with a symbol of its own occurs so often at least. What occurs less stands for the words that training lacks.
 LEAST = 2
-#: The passes start from a model of one training text in so many, those of the smallest id hashes, trained so often.
-START_SHARE, START_PASSES = 8, 6
+#: The first passes read one training text in so many, all of them as the others do, and are so many.
+START_SHARE, START_PASSES = 1, 6
 #: Distinct training words up to which their counts are broadcast (14 bytes each, 18 where counts pass 31 bits); beyond, they are joined.
 BROADCAST_WORDS = 8_000_000
 #: Symbols of a run: longer texts are several, with their states carried over.
 RUN = 2_048
 #: Symbols that are worked on at a time.
 BATCH = 1_000_000
+#: Steps after which matrices over runs are scaled anew: so many emissions multiplied stay far from the least double.
+SCALED = 8
 #: Weight of the overall word distribution in every state's own.
 PRIOR = 200.0
 END, RARE = 0, 1
@@ -113,7 +115,7 @@ class Model:
     """start (S), move (S x S), emit (symbols x S), all probabilities."""
 
     def __init__(self, start: np.ndarray, move: np.ndarray, emit: np.ndarray):
-        self.start, self.move, self.emit = start, move, emit
+        self.start, self.move, self.emit = start, move, np.asfortranarray(emit)  # a state's emissions side by side
 
     @staticmethod
     def random(unigram: np.ndarray, states: int) -> Model:
@@ -129,17 +131,24 @@ class Model:
 
 
 class Batch:
-    """Sequences side by side, longest first: at step t the first `live(t)` of them go on."""
+    """Sequences side by side, longest first, place by place: at step t the first `live[t]` of them go on, and lie at span(t)."""
 
     def __init__(self, seqs: list[np.ndarray]):
-        self.order = np.argsort([-len(s) for s in seqs], kind="stable")
-        self.flat = np.concatenate([seqs[i] for i in self.order])
-        size = np.array([len(seqs[i]) for i in self.order])
-        self.starts = np.concatenate([[0], np.cumsum(size)[:-1]])
-        self.live = np.searchsorted(-size, -np.arange(size[0]), side="left")
+        size = np.array([len(x) for x in seqs])
+        self.order = np.argsort(-size, kind="stable")
+        size = size[self.order]
+        self.live = np.searchsorted(-size, -np.arange(size[0]), side="left").tolist()
+        ends = np.concatenate([[0], np.cumsum(self.live)])
+        self.ends, place = ends.tolist(), np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        self.flat = np.empty(len(place), np.int64)
+        self.flat[ends[place] + np.repeat(np.arange(len(size)), size)] = np.concatenate([seqs[i] for i in self.order])
 
-    def at(self, t: int) -> np.ndarray:
-        return self.starts[: self.live[t]] + t
+    def span(self, t: int) -> slice:
+        return slice(self.ends[t], self.ends[t + 1])
+
+    def emitted(self, m: Model) -> np.ndarray:
+        """Probabilities of the symbols, states x symbols."""
+        return np.take(m.emit.T, self.flat, axis=1)
 
 
 class Runs:
@@ -182,39 +191,41 @@ class Runs:
 
 def _forward(m: Model, runs: list[np.ndarray], enter: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """States at the end of each run, and its log likelihood, by the scaled forward recursion."""
-    b = Batch(runs)
-    out, last = np.zeros(len(runs)), np.empty((len(runs), len(m.start)))
-    alpha = enter[b.order] * m.emit[b.flat[b.at(0)]]
-    for t in range(len(b.live)):
-        if t:
-            alpha = (alpha[: b.live[t]] @ m.move) * m.emit[b.flat[b.at(t)]]
-        scale = alpha.sum(1)
-        alpha /= scale[:, None]
-        out[: len(scale)] += np.log(scale)
+    b, move = Batch(runs), np.ascontiguousarray(m.move.T)
+    e, out, last = b.emitted(m), np.zeros(len(runs)), np.empty((len(m.start), len(runs)))
+    alpha = enter[b.order].T
+    for t, live in enumerate(b.live):
+        alpha = (move @ alpha[:, :live] if t else alpha) * e[:, b.span(t)]
+        scale = alpha.sum(0)
+        alpha /= scale
+        out[:live] += np.log(scale)
         end = b.live[t + 1] if t + 1 < len(b.live) else 0
-        last[end : b.live[t]] = alpha[end:]
-    logs, states = np.empty(len(runs)), np.empty_like(last)
-    logs[b.order], states[b.order] = out, last
+        if end < live:
+            last[:, end:live] = alpha[:, end:]
+    logs, states = np.empty(len(runs)), np.empty((len(runs), len(m.start)))
+    logs[b.order], states[b.order] = out, last.T
     return states, logs
 
 
 def _transfer(m: Model, runs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """From the state before each run to the state at its end, together with its symbols: a matrix, and the logarithm of
     what it is scaled by."""
-    b, s = Batch(runs), len(m.start)
-    logs, out = np.zeros(len(runs)), np.empty((len(runs), s, s))
-    a = np.repeat(m.move[None], len(runs), 0) * m.emit[b.flat[b.at(0)]][:, None, :]
-    for t in range(len(b.live)):
-        live = b.live[t]
+    b, s, move = Batch(runs), len(m.start), np.ascontiguousarray(m.move.T)
+    e, logs, out = b.emitted(m), np.zeros(len(runs)), np.empty((s, s, len(runs)))
+    # state now, state before the run, run
+    a = np.repeat(move[:, :, None], len(runs), 2) * e[:, None, b.span(0)]
+    for t, live in enumerate(b.live):
         if t:
-            a = (a[:live].reshape(-1, s) @ m.move).reshape(live, s, s) * m.emit[b.flat[b.at(t)]][:, None, :]
-        scale = a.sum((1, 2))
-        a = a / scale[:, None, None]
-        logs[:live] += np.log(scale)
+            a = (move @ a[:, :, :live].reshape(s, -1)).reshape(s, s, live)
+            a *= e[:, None, b.span(t)]
         end = b.live[t + 1] if t + 1 < len(b.live) else 0
-        out[end:live] = a[end:]
-    back, matrices = np.empty(len(runs)), np.empty_like(out)
-    back[b.order], matrices[b.order] = logs, out
+        if end < live or t % SCALED == 0:
+            scale = a.sum((0, 1))
+            a /= scale
+            logs[:live] += np.log(scale)
+            out[:, :, end:live] = a[:, :, end:]
+    back, matrices = np.empty(len(runs)), np.empty((len(runs), s, s))
+    back[b.order], matrices[b.order] = logs, out.transpose(2, 1, 0)
     return matrices, back
 
 
@@ -228,30 +239,31 @@ def expected(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
     """Expected counts of starts, moves and emissions in whole sequences."""
     cut = Runs(seqs)
     enter, _, before, after = cut.entered(m) if (cut.nth > 0).any() else (np.tile(m.start, (len(seqs), 1)), None, np.zeros((len(seqs), len(m.start))), None)
-    b = Batch(cut.runs)
-    n, s = len(b.flat), len(m.start)
-    enter, before, goes_on = enter[b.order], before[b.order], cut.nth[b.order] > 0
-    alpha, scale, gamma = np.empty((n, s)), np.empty(n), np.empty((n, s))
-    for t in range(len(b.live)):
-        at = b.at(t)
-        a = (enter if t == 0 else alpha[at - 1] @ m.move) * m.emit[b.flat[at]]
-        scale[at] = c = a.sum(1)
-        alpha[at] = a / c[:, None]
+    b, s, forth = Batch(cut.runs), len(m.start), np.ascontiguousarray(m.move.T)
+    e, before, goes_on = b.emitted(m), before[b.order], cut.nth[b.order] > 0
+    alpha, last = np.empty_like(e), enter[b.order].T
+    for t, live in enumerate(b.live):
+        here = b.span(t)
+        last = (forth @ last[:, :live] if t else last) * e[:, here]
+        c = last.sum(0)
+        last /= c
+        alpha[:, here] = last
+        e[:, here] /= c
     move = np.zeros((s, s))
-    beta = np.ones((len(cut.runs), s)) if after is None else after[b.order].copy()
+    beta = np.ones((s, len(cut.runs))) if after is None else after[b.order].T.copy()
     for t in range(len(b.live) - 1, -1, -1):
-        at = b.at(t)
-        gamma[at] = alpha[at] * beta[: len(at)]
-        w = m.emit[b.flat[at]] * beta[: len(at)] / scale[at][:, None]
+        here, live = b.span(t), b.live[t]
+        w = e[:, here] * beta[:, :live]
+        alpha[:, here] *= beta[:, :live]  # from now on what is known of these states from both sides
         if t:
-            move += alpha[at - 1].T @ w
-            beta[: len(at)] = w @ m.move.T
+            move += alpha[:, b.ends[t - 1] : b.ends[t - 1] + live] @ w.T
+            beta[:, :live] = m.move @ w
         else:
-            move += before[goes_on].T @ w[goes_on]
-    emit = np.zeros((len(m.emit), s))
+            move += before[goes_on].T @ w[:, goes_on].T
+    emit = np.empty((s, len(m.emit)))
     for j in range(s):
-        emit[:, j] = np.bincount(b.flat, gamma[:, j], len(m.emit))
-    return gamma[b.at(0)[~goes_on]].sum(0), move * m.move, emit
+        emit[j] = np.bincount(b.flat, alpha[j], len(m.emit))
+    return alpha[:, b.span(0)][:, ~goes_on].sum(1), move * m.move, emit.T
 
 
 def _batches(frames: Iterator[pd.DataFrame], most: int) -> Iterator[tuple[list, list[np.ndarray]]]:
@@ -346,12 +358,11 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, states: int = STATE
     unigram = np.concatenate([[ends + 1, rare_c + 1], best_c + 1.0])
     unigram /= unigram.sum()
     model = Model.random(unigram, states)
-    training = coded.where("not held_out").select("rid", "doc_id", "ids")
-    start = save(training.where(F.pmod(F.xxhash64("doc_id"), F.lit(START_SHARE)) == 0).select("rid", "ids"), "hmm-start")
-    for rows in (*[start] * START_PASSES, *[training] * passes):
+    training = coded.where("not held_out").select("rid", "ids")
+    for _ in range(START_PASSES + passes):
         shared = spark.sparkContext.broadcast(model)
         run, cols = _expect(shared, states)
-        got = rows.select("rid", "ids").mapInPandas(run, cols).groupBy("symbol").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(states))).toArrow()
+        got = training.mapInPandas(run, cols).groupBy("symbol").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(states))).toArrow()
         counts = np.zeros((1 + states + len(unigram), states))
         at = got["symbol"].to_numpy() + 1 + states
         for j in range(states):

@@ -81,6 +81,14 @@ def test_query_scores_equal_a_plain_run(spark, sf):
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
 
 
+def test_every_pass_reads_every_training_text(spark, sf):
+    rows = spark.read.parquet(f"{sf}/documents.parquet").limit(40).select("doc_id", "text", (id_crc("doc_id", 7) == 2).alias("held")).collect()
+    want = plain_scores({r.doc_id: r.text for r in rows}, {r.doc_id: r.held for r in rows}, {r.doc_id: True for r in rows})
+    docs = spark.createDataFrame(rows, "doc_id long, text string, held boolean")
+    got = {r.doc_id: r.score for r in score(docs, F.col("held")).collect()}
+    assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
+
+
 def test_query_counts_and_base(spark, sf):
     docs = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     c, train = Counter(), [d for d in docs if crc32(str(d).encode()) % 7 != 2]
