@@ -31,7 +31,8 @@ LEAST_DOCS, LEAST_ODDS = 3, 1.0
 BEGINNINGS = (4, 5, 6)
 #: Summed evidence of so many strongest words goes into a document's score.
 STRONGEST = (1, 2, 3, 5, 10)
-#: Trigrams of letters that the character model keeps at most, the most frequent ones (some 100 bytes each).
+#: Trigrams of letters that the character model keeps in a dictionary, the most frequent ones (some 100 bytes each); all
+#: others lie in sorted arrays, 16 bytes each.
 GRAMS = 500_000
 #: Tokens remembered at most.
 MEMORY = 500_000
@@ -55,19 +56,63 @@ ODD = re.compile(rf"[{re.escape(''.join(STANDS_FOR) + SEPARATORS)}]|([^\W\d_])\1
 SPELT = re.compile(r"\w(?:[ \t.\-_*~,'`^:;/\\|+]+\w){2,}")
 
 
+def packed(letters: str) -> int:
+    """Up to three code points as one number."""
+    out = 0
+    for c in letters:
+        out = out << 21 | ord(c)
+    return out
+
+
+class Sorted:
+    """Numbers by sorted 64-bit keys, 16 bytes each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.values = keys[order], values[order]
+
+    def get(self, key: int) -> float | None:
+        i = int(self.keys.searchsorted(np.int64(key)))
+        return float(self.values[i]) if i < len(self.keys) and self.keys[i] == key else None
+
+
+class Grams(Sorted):
+    """Counts of trigrams by their packed letters."""
+
+    @staticmethod
+    def of(three: Counter) -> Grams:
+        return Grams(np.array([packed(k) for k in three], np.int64), np.array(list(three.values()), np.int64))
+
+    def __eq__(self, other: object) -> bool:
+        other = Grams.of(other) if isinstance(other, Counter) else other
+        return isinstance(other, Grams) and np.array_equal(self.keys, other.keys) and np.array_equal(self.values, other.values)
+
+    __hash__ = None
+
+
+def _often(keys: np.ndarray, n: np.ndarray, logs: np.ndarray, size: int) -> tuple[dict[str, float], Sorted | None]:
+    """Logarithms by letters, `size` code points each, for the GRAMS most frequent; the others' by packed letters."""
+    most = np.ones(len(keys), bool)
+    if len(keys) > GRAMS:
+        most[np.argpartition(n, len(n) - GRAMS)[: len(n) - GRAMS]] = False
+    shifts = range(21 * (size - 1), -1, -21)
+    return {"".join(chr(k >> x & 0x1FFFFF) for x in shifts): p for k, p in zip(keys[most].tolist(), logs[most].tolist(), strict=True)}, None if most.all() else Sorted(keys[~most], logs[~most])
+
+
 class Letters:
     """Character trigrams with add-one smoothing over the letters seen."""
 
-    def __init__(self, three: Counter, known: Counter):
+    def __init__(self, three: Counter | Grams, known: Counter):
         """three: trigrams of words with two spaces before and one behind; known: words that spelt-out ones are cut into."""
-        two, seen = Counter(), set()
-        for gram, n in three.items():
-            two[gram[:2]] += n
-            seen.update(gram)
-        seen.discard(" ")
-        size = len(seen) + 1
-        self.p = {k: math.log((n + 0.1) / (two[k[:2]] + 0.1 * size)) for k, n in three.items()}
-        self.none = {k: math.log(0.1 / (n + 0.1 * size)) for k, n in two.items()}
+        three = three if isinstance(three, Grams) else Grams.of(three)
+        keys, n = three.keys, three.values
+        pairs, which = np.unique(keys >> 21, return_inverse=True)
+        two = np.zeros(len(pairs), np.int64)
+        np.add.at(two, which, n)
+        seen = np.unique(np.concatenate([np.unique(keys >> x & 0x1FFFFF) for x in (42, 21, 0)]))
+        size = int((seen != ord(" ")).sum()) + 1
+        self.p, self.rest = _often(keys, n, np.log((n + 0.1) / (two[which] + 0.1 * size)), 3)
+        self.none, self.rest_none = _often(pairs, two, np.log(0.1 / (two + 0.1 * size)), 2)
         self.never = math.log(1 / size)
         # words seen twice have their own probability; all others share that of words seen once, by their letters
         total = known.total() + 1
@@ -76,7 +121,14 @@ class Letters:
 
     def of(self, two: str, c: str) -> float:
         p = self.p.get(two + c)
-        return self.none.get(two, self.never) if p is None else p
+        return self.far(two, c) if p is None else p
+
+    def far(self, two: str, c: str) -> float:
+        """What follows two letters, of trigrams that the dictionary lacks."""
+        p = self.rest and self.rest.get(packed(two + c))
+        if p is None and (p := self.none.get(two)) is None:
+            p = self.rest_none and self.rest_none.get(packed(two))
+        return self.never if p is None else p
 
     def decode(self, seen: str, ends: str = "") -> str:
         """The likeliest letters behind what is seen: exact Viterbi over the last two letters, in time linear in the length.
@@ -86,7 +138,7 @@ class Letters:
         """
         first, last = len(seen) - len(seen.lstrip(EDGE_SIGNS)), len(seen.rstrip(EDGE_SIGNS))
         # a state's letters are a chain of (chain before, letter)
-        known, none, never = self.p.get, self.none.get, self.never
+        known, none, never, far = self.p.get, self.none.get, self.never, self.rest and self.far
         states: dict[str, tuple[float, tuple | None]] = {"  ": (0.0, None)}
         for i, o in enumerate(seen):
             nxt: dict[str, tuple[float, tuple | None]] = {}
@@ -97,7 +149,7 @@ class Letters:
             for two, (score, word) in states.items():
                 for c, cost in ways:
                     p = known(two + c)
-                    s, key = score + cost + (none(two, never) if p is None else p), two[1] + c
+                    s, key = score + cost + (p if p is not None else far(two, c) if far else none(two, never)), two[1] + c
                     if key not in nxt or s > nxt[key][0]:
                         nxt[key] = (s, (word, c))
                 if drop is not None:
@@ -162,45 +214,52 @@ def words_of(texts: Iterable[bytes]) -> Counter:
 
 def trigrams(words: Counter) -> Counter:
     """How often each three letters follow each other in words, their ends being spaces."""
-    out, part, size = Counter(), [], 0
+    out = Counter()
+    for part in _parts(words):
+        keys, n = _trigrams(part)
+        out.update({"".join(chr(k >> shift & 0x1FFFFF) for shift in (42, 21, 0)): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)})
+    return out
+
+
+def _parts(words: Counter) -> Iterator[list[tuple[str, int]]]:
+    """Words and their counts, about LETTERS letters at a time."""
+    part, size = [], 0
     for w, n in words.items():
         part.append((w, n))
         size += len(w) + 3
         if size >= LETTERS:
-            out.update(_trigrams(part))
+            yield part
             part, size = [], 0
     if part:
-        out.update(_trigrams(part))
-    return out
+        yield part
 
 
-def _trigrams(part: list[tuple[str, int]]) -> dict[str, int]:
-    signs = np.frombuffer("".join(f"  {w} " for w, _ in part).encode("utf-32-le"), "<u4").astype(np.uint64)
+def _trigrams(part: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed trigrams and their counts."""
+    signs = np.frombuffer("".join(f"  {w} " for w, _ in part).encode("utf-32-le"), "<u4").astype(np.int64)
     lengths = np.array([len(w) + 3 for w, _ in part])
     ends = np.cumsum(lengths)
     # three letters begin everywhere but at the last two places of a word
     begins = np.ones(len(signs), bool)
     begins[ends - 1] = begins[ends - 2] = False
     at = np.flatnonzero(begins)
-    keys, which = np.unique(signs[at] << np.uint64(42) | signs[at + 1] << np.uint64(21) | signs[at + 2], return_inverse=True)
+    keys, which = np.unique(signs[at] << 42 | signs[at + 1] << 21 | signs[at + 2], return_inverse=True)
     n = np.zeros(len(keys), np.int64)
     np.add.at(n, which, np.repeat(np.array([n for _, n in part], np.int64), lengths - 2))
-    return {"".join(chr(k >> shift & 0x1FFFFF) for shift in (42, 21, 0)): c for k, c in zip(keys.tolist(), n.tolist(), strict=True)}
+    return keys, n
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = Counter()
     # a token is cut into letters once for a part of the task, however many texts hold it
     for raw in tokens_of((t or b"" for b in small(batches) for t in column_bytes(b, "text")), MEMORY):
-        total.update(trigrams(words_in(raw)))
-    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["gram", "n"])
+        for part in _parts(words_in(raw)):
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _trigrams(part)], ["gram", "n"])
 
 
-def letters_of(docs: DataFrame) -> Counter:
-    """Trigrams of the words of all texts of docs (text): as many rows as letters follow each other in different ways, GRAMS at most."""
-    rows = docs.select("text").mapInArrow(_grams, "gram string, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    got = rows.orderBy(F.desc("n"), "gram").limit(GRAMS).toArrow()
-    return Counter(dict(zip(got["gram"].to_pylist(), got["n"].to_pylist(), strict=True)))
+def letters_of(docs: DataFrame) -> Grams:
+    """Trigrams of the words of all texts of docs (text), every one: as many rows as letters follow each other in different ways."""
+    got = docs.select("text").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
+    return Grams(got["gram"].to_numpy(), got["n"].to_numpy())
 
 
 def features(word: str) -> list[int]:
@@ -295,7 +354,7 @@ def distinct(texts: list[bytes]) -> np.ndarray:
     return np.array(out, int)
 
 
-def fit(texts: list[bytes], y: np.ndarray, three: Counter | None = None) -> Model:
+def fit(texts: list[bytes], y: np.ndarray, three: Counter | Grams | None = None) -> Model:
     """Odds from the texts, letters from trigrams of more of them where given, else from the same; the weights of a document's totals are fitted on halves that the odds don't know.
 
     Copies of a text are learnt from once: else its chance words would look like evidence.

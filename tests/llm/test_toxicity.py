@@ -37,6 +37,20 @@ def test_trigrams_in_parts_equal_a_plain_count(monkeypatch):
         assert sum((words_in(raw) for raw in tokens_of(texts, most)), Counter()) == whole
 
 
+def test_rare_trigrams_count_like_frequent_ones(spark, monkeypatch):
+    texts = ["the cat the cat idiot silly", "stone lost", "été 漢字 𝒶𝒷 idiot"]
+    words = words_of([t.encode() for t in texts])
+    whole = of_words(words)
+    monkeypatch.setattr(toxicity, "GRAMS", 3)
+    grams = letters_of(spark.createDataFrame([(t,) for t in texts], "text string"))
+    few = Letters(grams, words)
+    assert grams == trigrams(words) and len(few.p) == 3 and few.rest is not None
+    for two in ("  ", " i", "id", "漢字", "𝒶𝒷", "zz"):
+        assert all(few.of(two, c) == whole.of(two, c) for c in "idotz字 ")
+    for seen in ("1d10t", "i.d.i.o.t", "s1lly", "$tone", "l0$t", "ét€"):
+        assert few.decode(seen) == whole.decode(seen)
+
+
 def brute(letters, seen):
     """The best of all ways to read a token, by trying each."""
     best = (-math.inf, "")
