@@ -10,17 +10,19 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from palimpsest.llm.common import WordHashes, column_bytes, id_crc, shared_dir, shingles, small, spread, table, unused
+from palimpsest.llm.common import WordHashes, column_bytes, drop, id_crc, save, shared_dir, shingles, small, spread, table, unused
 from palimpsest.llm.learn import labelled, logistic, sigmoid
 
 #: Labelled documents that are learnt from at most.
@@ -90,6 +92,27 @@ class Grams(Sorted):
     __hash__ = None
 
 
+def _hash(word: str) -> int:
+    return xxhash.xxh3_64_intdigest(word.encode("utf-8", "replace")) - (1 << 63)
+
+
+class Words(Sorted):
+    """Counts of words seen twice and more by their hashes, the lengths that they have, and of all words the sum of counts
+    and how many were seen once."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray, lengths: Iterable[int], total: int, once: int):
+        super().__init__(keys, values)
+        self.lengths, self.total, self.once = sorted(lengths), total, once
+
+
+class Logs(Sorted):
+    """Logarithms of words by their hashes."""
+
+    def get(self, word: str, default: float | None = None) -> float | None:
+        p = super().get(_hash(word))
+        return default if p is None else p
+
+
 def _often(keys: np.ndarray, n: np.ndarray, logs: np.ndarray, size: int) -> tuple[dict[str, float], Sorted | None]:
     """Logarithms by letters, `size` code points each, for the GRAMS most frequent; the others' by packed letters."""
     most = np.ones(len(keys), bool)
@@ -102,7 +125,7 @@ def _often(keys: np.ndarray, n: np.ndarray, logs: np.ndarray, size: int) -> tupl
 class Letters:
     """Character trigrams with add-one smoothing over the letters seen."""
 
-    def __init__(self, three: Counter | Grams, known: Counter):
+    def __init__(self, three: Counter | Grams, known: Counter | Words):
         """three: trigrams of words with two spaces before and one behind; known: words that spelt-out ones are cut into."""
         three = three if isinstance(three, Grams) else Grams.of(three)
         keys, n = three.keys, three.values
@@ -115,9 +138,14 @@ class Letters:
         self.none, self.rest_none = _often(pairs, two, np.log(0.1 / (two + 0.1 * size)), 2)
         self.never = math.log(1 / size)
         # words seen twice have their own probability; all others share that of words seen once, by their letters
-        total = known.total() + 1
-        self.word = {w: math.log(n / total) for w, n in known.items() if n > 1}
-        self.new, self.longest = math.log((1 + sum(n == 1 for n in known.values())) / total), max(map(len, self.word), default=0)
+        if isinstance(known, Words):
+            total, once, self.lengths = known.total + 1, known.once, known.lengths
+            self.word = Logs(known.keys, np.log(known.values / total))
+        else:
+            total, once = known.total() + 1, sum(n == 1 for n in known.values())
+            self.word = {w: math.log(n / total) for w, n in known.items() if n > 1}
+            self.lengths = sorted({len(w) for w in self.word})
+        self.new = math.log((1 + once) / total)
 
     def of(self, two: str, c: str) -> float:
         p = self.p.get(two + c)
@@ -173,7 +201,7 @@ class Letters:
             far = max((one[0] + self.of(" " + s[j - 2], c), one[1]), (more[0] + self.of(s[j - 3 : j - 1], c), more[1])) if j > 1 else none
             one, more = (best[j - 1][0] + self.new + self.of("  ", c), j - 1), far
             ways = [(one[0] + self.of(" " + c, " "), one[1]), (more[0] + self.of(s[j - 2 : j], " "), more[1])]
-            ways += [(best[i][0] + p, i) for i in range(max(0, j - self.longest), j) if (p := self.word.get(s[i:j])) is not None]
+            ways += [(best[j - n][0] + p, j - n) for n in self.lengths[: bisect_right(self.lengths, j)] if (p := self.word.get(s[j - n : j])) is not None]
             best.append(max(ways))
         out, j = [], len(s)
         while j:
@@ -249,17 +277,32 @@ def _trigrams(part: list[tuple[str, int]]) -> tuple[np.ndarray, np.ndarray]:
     return keys, n
 
 
-def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Counts of packed trigrams (length 0), and of words by length and hash."""
+    row = lambda *x: pa.RecordBatch.from_arrays([pa.array(x[0], pa.int32()), *(pa.array(y, pa.int64()) for y in x[1:])], ["length", "key", "n"])
     # a token is cut into letters once for a part of the task, however many texts hold it
     for raw in tokens_of((t or b"" for b in small(batches) for t in column_bytes(b, "text")), MEMORY):
-        for part in _parts(words_in(raw)):
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in _trigrams(part)], ["gram", "n"])
+        words = words_in(raw)
+        for part in _parts(words):
+            keys, n = _trigrams(part)
+            yield row(np.zeros(len(keys), np.int32), keys, n)
+            yield row([len(w) for w, _ in part], [_hash(w) for w, _ in part], [n for _, n in part])
+
+
+def counts_of(docs: DataFrame) -> tuple[Grams, Words]:
+    """Trigrams and words of all texts of docs (text), every one: as many rows as letters follow each other in different
+    ways, and as there are words seen twice."""
+    counts = save(docs.select("text").mapInArrow(_counted, "length int, key long, n long").groupBy("length", "key").agg(F.sum("n").alias("n")), "toxicity-counts")
+    words = counts.where("length > 0")
+    total, once = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") == 1)).first()
+    grams, often = counts.where("length = 0").select("key", "n").toArrow(), words.where("n > 1").select("length", "key", "n").toArrow()
+    drop(counts)
+    return Grams(grams["key"].to_numpy(), grams["n"].to_numpy()), Words(often["key"].to_numpy(), often["n"].to_numpy(), np.unique(often["length"].to_numpy()).tolist(), total, once)
 
 
 def letters_of(docs: DataFrame) -> Grams:
-    """Trigrams of the words of all texts of docs (text), every one: as many rows as letters follow each other in different ways."""
-    got = docs.select("text").mapInArrow(_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toArrow()
-    return Grams(got["gram"].to_numpy(), got["n"].to_numpy())
+    """Trigrams of the words of all texts of docs (text), every one."""
+    return counts_of(docs)[0]
 
 
 def features(word: str) -> list[int]:
@@ -354,16 +397,16 @@ def distinct(texts: list[bytes]) -> np.ndarray:
     return np.array(out, int)
 
 
-def fit(texts: list[bytes], y: np.ndarray, three: Counter | Grams | None = None) -> Model:
-    """Odds from the texts, letters from trigrams of more of them where given, else from the same; the weights of a document's totals are fitted on halves that the odds don't know.
+def fit(texts: list[bytes], y: np.ndarray, three: Counter | Grams | None = None, known: Words | None = None) -> Model:
+    """Odds from the texts, letters from trigrams of more of them where given and words to cut into from their words, else from the same; the weights of a document's totals are fitted on halves that the odds don't know.
 
     Copies of a text are learnt from once: else its chance words would look like evidence.
     """
     once = distinct(texts)
     if len(set(y[once])) == 2:
         texts, y = [texts[i] for i in once], y[once]
-    known = words_of(texts)
-    letters = Letters(trigrams(known) if three is None else three, known)
+    own = words_of(texts) if three is None or known is None else None
+    letters = Letters(trigrams(own) if three is None else three, own if known is None else known)
     m, read = Model(letters, {}), {}
 
     def looked(t: bytes) -> np.ndarray:
@@ -405,15 +448,15 @@ def _score(model, keep: str | None = None):
 
 
 def learn(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE):
-    """The broadcast model: odds and weights from a bounded sample of labelled rows, letters from all texts, none of them
+    """The broadcast model: odds and weights from a bounded sample of labelled rows, letters and words from all texts, none of them
     held_out; None without labels of both kinds."""
     rows = labelled(docs, labels, "toxic", held_out, most).select("doc_id", "label", F.coalesce("text", F.lit("")).alias("text")).toArrow().to_pandas()
     rows = rows.sort_values(["doc_id", "text"])  # halves are dealt by row: the same in every run
     y = rows["label"].to_numpy(float)
     if len(set(y)) < 2:
         return None
-    three = letters_of(docs.where(F.coalesce(~held_out, F.lit(True))))
-    return docs.sparkSession.sparkContext.broadcast(fit([t.encode("utf-8", "replace") for t in rows["text"]], y, three))
+    three, known = counts_of(docs.where(F.coalesce(~held_out, F.lit(True))))
+    return docs.sparkSession.sparkContext.broadcast(fit([t.encode("utf-8", "replace") for t in rows["text"]], y, three, known))
 
 
 def classify(docs: DataFrame, labels: DataFrame, held_out: Column, most: int = SAMPLE) -> DataFrame:

@@ -51,6 +51,15 @@ def test_rare_trigrams_count_like_frequent_ones(spark, monkeypatch):
         assert few.decode(seen) == whole.decode(seen)
 
 
+def test_words_are_those_of_all_training_texts(spark):
+    rows = [(1, "plain prose here", 1), (2, "other prose there", 0), (3, "wretched person", 0), (4, "a wretched person", 0), (5, "heldout text", 0), (6, "heldout text", 0)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(1, 1), (2, 0)], "doc_id long, toxic int")
+    letters = toxicity.learn(docs, labels, F.col("doc_id") >= 5).value.letters
+    whole = of_words(words_of([t.encode() for _, t, _ in rows[:4]]))
+    assert letters.cut("wretchedperson") == ["wretched", "person"] and letters.new == whole.new and letters.lengths == whole.lengths
+    assert all(letters.word.get(w) == whole.word.get(w) for w in ("wretched", "person", "prose", "plain", "heldout", "a", ""))
+
+
 def brute(letters, seen):
     """The best of all ways to read a token, by trying each."""
     best = (-math.inf, "")
