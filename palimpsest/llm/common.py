@@ -109,6 +109,13 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
             yield b.slice(i, rows)
 
 
+def give_back(spark: SparkSession) -> None:
+    """Has the executors collect their garbage and give back heap that nothing fills, which they would else keep as large as
+    the busiest stage before has made it. Changes no result."""
+    n = 2 * spark.sparkContext.defaultParallelism  # tasks enough for each executor to get some
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
+
+
 def column_bytes(batch: pa.RecordBatch, name: str) -> list[bytes | None]:
     """A text column as UTF-8 bytes."""
     return batch.column(batch.schema.get_field_index(name)).cast(pa.binary()).to_pylist()

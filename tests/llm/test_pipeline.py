@@ -82,6 +82,16 @@ def test_stages_stand_odd_rows(spark, sf):
         assert pieces.count() >= want and pieces.where("start = 0").count() == want and pieces.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
 
 
+def test_stages_give_back_the_memory_of_those_before(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(5)
+    full = lambda: sum(b.getCollectionCount() for b in beans.getGarbageCollectorMXBeans() if "Old" in b.getName() or "MarkSweep" in b.getName())
+    for name, f in corpus_pipeline.STAGES[3:]:
+        before = full()
+        f(spark, docs, SF)
+        assert full() > before, name
+
+
 def test_near_duplicates_lose_no_text_to_ids_that_repeat(spark):
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
     rows = [(0, text["a"], "de"), (0, text["b"], "de"), (0, text["b"], "en"), (None, text["c"], "fr"), (None, text["c"], "fr"), (None, text["d"], "fr"), (5, text["a"] + " more", "de"), (6, "other words entirely, six of them", "it")]
