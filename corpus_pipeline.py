@@ -1,7 +1,7 @@
 """A training corpus from `documents`: good documents, none toxic, one of each group of near copies, mixed and packed.
 
 Every stage works on what its predecessor kept and returns the columns of `documents`; the last returns packed pieces.
-Executors serve all stages: each begins by giving back the memory that those before it have left.
+Driver and executors serve all stages: each begins by giving back the memory that those before it have left.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ CHUNKS = 400_000
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that the line model calls good."""
+    give_back(spark)
     return quality.keep(docs, table(spark, sf_dir, "labels"), id_crc("doc_id", 3) == 1)
 
 

@@ -10,6 +10,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+from py4j.protocol import Py4JError
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -100,18 +101,42 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.Re
 
     Workers are used again: memory that earlier tasks have left behind is first given back.
     """
+    trim()
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
+def trim() -> None:
+    """Gives back what this Python process has allocated and holds no longer."""
     gc.collect()
     pa.default_memory_pool().release_unused()
     with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
         ctypes.CDLL("libc.so.6").malloc_trim(0)
-    for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+
+
+def trim_jvm(spark: SparkSession) -> str:
+    """Has the driver's JVM give back what it has allocated outside its heap and holds no longer; what it says of that."""
+    jvm = spark._jvm
+    invoke = next(m for m in jvm.java.lang.Class.forName("javax.management.MBeanServer").getMethods() if m.getName() == "invoke")
+    args = spark.sparkContext._gateway.new_array(jvm.java.lang.Object, 4)
+    args[0], args[1] = jvm.javax.management.ObjectName("com.sun.management:type=DiagnosticCommand"), "systemTrimNativeHeap"
+    return invoke.invoke(jvm.java.lang.management.ManagementFactory.getPlatformMBeanServer(), args)
+
+
+def ease_driver(spark: SparkSession) -> None:
+    """Has the driver, its Python and its JVM, collect garbage and give back what nothing fills: heap, and what compiling many
+    plans has left outside it. Changes no result."""
+    trim()
+    spark._jvm.System.gc()
+    with contextlib.suppress(Py4JError):  # only where the JVM has this command
+        trim_jvm(spark)
 
 
 def give_back(spark: SparkSession) -> None:
-    """Has the executors collect their garbage and give back heap that nothing fills, which they would else keep as large as
-    the busiest stage before has made it. Changes no result."""
+    """Has the driver and the executors collect their garbage and give back heap that nothing fills, which they would else keep
+    as large as the busiest stage before has made it. Changes no result."""
+    ease_driver(spark)
     n = 2 * spark.sparkContext.defaultParallelism  # tasks enough for each executor to get some
     spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc') AS done").write.format("noop").mode("overwrite").save()
 

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, components, drop, lists, mix, save, shingles, small, spread, table, unused
+from palimpsest.llm.common import WordHashes, column_bytes, components, drop, ease_driver, lists, mix, save, shingles, small, spread, table, unused
 
 #: Sketch size, length of runs, runs that a pair is sure enough to share, slack of the estimate (five deviations).
 SKETCH, RUN, SHARED, SLACK = 64, 3, 6, 0.27
@@ -118,6 +118,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
     tested = save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
 
     for turn in range(1, TURNS + 1):
+        ease_driver(docs.sparkSession)  # each turn plans some twenty jobs
         labels = components(tested.where("linked").select("a", "b"))
         every = save(post.join(labels, post["rep"] == labels["node"], "left").select("key", "rep", "n", F.coalesce("label", "rep").alias("label")), "minhash-labels")
         mixed = save(every.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("key"), "minhash-mixed")
@@ -138,6 +139,7 @@ def link(docs: DataFrame, words: int = 5, percent: int = 80) -> tuple[DataFrame,
         before, tested = tested, save(tested.unionByName(_verify(pairs, sketches, docs, words, percent)), "minhash-tested")
         drop(before, pairs, p)
     drop(post)
+    ease_driver(docs.sparkSession)
     return rows, classes, tested.where("linked").select("a", "b")
 
 

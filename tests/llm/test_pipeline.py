@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline
-from palimpsest.llm import quality, toxicity
+from palimpsest.llm import common, minhash, quality, toxicity
 from palimpsest.llm.common import save
 from tests.llm.test_minhash import brute
 from tests.llm.test_packing import check
@@ -92,6 +92,19 @@ def test_stages_give_back_the_memory_of_those_before(spark):
         assert full() > before, name
 
 
+def test_near_duplicates_give_back_what_their_plans_leave_in_the_driver(spark, monkeypatch):
+    """In each turn, not only before the stage: its many plans are what the driver's memory goes to."""
+    eased, ease = [], minhash.ease_driver
+    monkeypatch.setattr(minhash, "ease_driver", lambda s: (eased.append(s), ease(s)))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    corpus_pipeline.STAGES[2][1](spark, docs, SF).count()
+    assert len(eased) >= 2
+
+
+def test_the_driver_gives_back_native_memory(spark):
+    assert "Trim native heap" in common.trim_jvm(spark)
+
+
 def test_near_duplicates_lose_no_text_to_ids_that_repeat(spark):
     text = {k: " ".join(f"{k}{i}" for i in range(30)) for k in "abcd"}
     rows = [(0, text["a"], "de"), (0, text["b"], "de"), (0, text["b"], "en"), (None, text["c"], "fr"), (None, text["c"], "fr"), (None, text["d"], "fr"), (5, text["a"] + " more", "de"), (6, "other words entirely, six of them", "it")]
