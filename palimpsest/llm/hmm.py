@@ -35,7 +35,7 @@ BROADCAST_WORDS = 8_000_000
 RUN = 2_048
 #: Symbols that are worked on at a time.
 BATCH = 1_000_000
-#: Steps after which matrices over runs are scaled anew: so many emissions multiplied stay far from the least double.
+#: Steps after which states, and matrices over runs, are scaled anew: so many emissions multiplied stay far from the least double.
 SCALED = 8
 #: Weight of the overall word distribution in every state's own.
 PRIOR = 200.0
@@ -161,14 +161,18 @@ class Runs:
         self.owner = np.repeat(np.arange(len(seqs)), k)
         self.nth = np.arange(len(self.runs)) - np.repeat(np.cumsum(k) - k, k)
 
-    def entered(self, m: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    def entered(self, m: Model, alone: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
         """What is known of the first state of each run from all before it, each run's log likelihood given that, the
-        states at the end of the run before it, and what later runs say of the states at each run's end."""
+        states at the end of the run before it, and what later runs say of the states at each run's end.
+
+        alone: else sequences of one run, which carry nothing over, are left out of the likelihoods, and aren't read.
+        """
         states, n = len(m.start), len(self.runs)
         enter, logs, before, after = np.tile(m.start, (n, 1)), np.zeros(n), np.zeros((n, states)), None
-        first = np.flatnonzero(self.nth == 0)
+        first = np.flatnonzero((self.nth == 0) & (alone | np.append(self.nth[1:] > 0, False)))
         last = np.zeros((n, states))
-        last[first], logs[first] = _forward(m, [self.runs[i] for i in first], enter[first])
+        if len(first):
+            last[first], logs[first] = _forward(m, [self.runs[i] for i in first], enter[first])
         later = np.flatnonzero(self.nth > 0)
         if len(later):
             through, scale = _transfer(m, [self.runs[i] for i in later])
@@ -196,11 +200,11 @@ def _forward(m: Model, runs: list[np.ndarray], enter: np.ndarray) -> tuple[np.nd
     alpha = enter[b.order].T
     for t, live in enumerate(b.live):
         alpha = (move @ alpha[:, :live] if t else alpha) * e[:, b.span(t)]
-        scale = alpha.sum(0)
-        alpha /= scale
-        out[:live] += np.log(scale)
         end = b.live[t + 1] if t + 1 < len(b.live) else 0
-        if end < live:
+        if end < live or t % SCALED == 0:
+            scale = alpha.sum(0)
+            alpha /= scale
+            out[:live] += np.log(scale)
             last[:, end:live] = alpha[:, end:]
     logs, states = np.empty(len(runs)), np.empty((len(runs), len(m.start)))
     logs[b.order], states[b.order] = out, last.T
@@ -238,17 +242,19 @@ def likelihoods(m: Model, seqs: list[np.ndarray]) -> np.ndarray:
 def expected(m: Model, seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, moves and emissions in whole sequences."""
     cut = Runs(seqs)
-    enter, _, before, after = cut.entered(m) if (cut.nth > 0).any() else (np.tile(m.start, (len(seqs), 1)), None, np.zeros((len(seqs), len(m.start))), None)
+    enter, _, before, after = cut.entered(m, alone=False)
     b, s, forth = Batch(cut.runs), len(m.start), np.ascontiguousarray(m.move.T)
     e, before, goes_on = b.emitted(m), before[b.order], cut.nth[b.order] > 0
     alpha, last = np.empty_like(e), enter[b.order].T
     for t, live in enumerate(b.live):
         here = b.span(t)
         last = (forth @ last[:, :live] if t else last) * e[:, here]
-        c = last.sum(0)
-        last /= c
+        # every run ends scaled: from both sides its states then sum to 1 at each place
+        if (b.live[t + 1] if t + 1 < len(b.live) else 0) < live or t % SCALED == 0:
+            c = last.sum(0)
+            last /= c
+            e[:, here] /= c
         alpha[:, here] = last
-        e[:, here] /= c
     move = np.zeros((s, s))
     beta = np.ones((s, len(cut.runs))) if after is None else after[b.order].T.copy()
     for t in range(len(b.live) - 1, -1, -1):

@@ -54,6 +54,28 @@ def test_states_are_carried_from_run_to_run(monkeypatch, size):
     assert np.allclose(likelihoods(m, [np.tile([0, 1, 2, 3], 500)] * 2), hmm.Runs([np.tile([0, 1, 2, 3], 500)] * 2, 10**6).entered(m)[1])
 
 
+def test_expected_counts_read_a_sequence_of_one_run_once(monkeypatch):
+    """Only sequences of several runs are read forward before their counts: those of one run carry no states over."""
+    m, seqs, read = small(), [np.array(x) for x in ([1, 2], [3, 1, 0, 2, 2], [0], [2, 3, 1])], []
+    whole = expected(m, seqs)
+    forward = hmm._forward
+    monkeypatch.setattr(hmm, "_forward", lambda m, runs, enter: (read.extend(x.tolist() for x in runs), forward(m, runs, enter))[1])
+    monkeypatch.setattr(hmm, "RUN", 3)
+    assert all(np.allclose(a, b) for a, b in zip(expected(m, seqs), whole)) and read == [[3, 1, 0]]
+    assert all(np.allclose(a, b) for a, b in zip(expected(m, seqs[2:]), expected(m, [*seqs[3:], *seqs[2:3]]))) and read == [[3, 1, 0]]
+
+
+def test_scaling_now_and_then_loses_nothing(monkeypatch):
+    """Symbols as unlikely as any of a huge vocabulary give the same counts, scaled at each step or not."""
+    m, rng = small(symbols=6), np.random.default_rng(5)
+    m = Model(m.start, m.move, m.emit * np.array([1, 1e-17, 1, 1e-17, 1e-12, 1])[:, None])
+    seqs = [rng.integers(0, 6, k) for k in (1, 8, 9, 40, 41, 300)] + [np.ones(50, int)]
+    got, logs = expected(m, seqs), likelihoods(m, seqs)
+    assert all(g.sum() == pytest.approx(n) for g, n in zip(got, (len(seqs), sum(map(len, seqs)) - len(seqs), sum(map(len, seqs)))))
+    monkeypatch.setattr(hmm, "SCALED", 1)
+    assert np.allclose(likelihoods(m, seqs), logs, rtol=1e-12) and all(np.allclose(a, b, rtol=1e-9, atol=1e-12) for a, b in zip(expected(m, seqs), got))
+
+
 def plain_scores(texts, held, starts):
     """What the query does, with one dictionary, one list of texts and no partitions."""
     words = {d: (t or "").encode().lower().split() for d, t in texts.items()}
