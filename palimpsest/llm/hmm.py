@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from palimpsest.llm.common import WordHashes, column_bytes, id_crc, save, shared_dir, small, spread, table
+from palimpsest.llm.common import WordHashes, column_bytes, drop, id_crc, save, shared_dir, shuffles_removed, small, spread, table
 
 #: Words with a symbol of their own at most (64 bytes each in the model), hidden states, Baum-Welch passes after the first START_PASSES.
 TOP, STATES, PASSES = 131_072, 8, 2
@@ -340,7 +340,8 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, states: int = STATE
     shared_dir(spark)
     docs = spread(docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), F.col("text").cast("string").alias("text")))
     train = docs.where("not held_out")
-    words = save(train.select("text").mapInArrow(_count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "hmm-words")
+    with shuffles_removed(spark):
+        words = save(train.select("text").mapInArrow(_count, "hash long, c long").groupBy("hash").agg(F.sum("c").alias("c")), "hmm-words")
     total, distinct = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     ends = train.count()
     n, v = total + ends, distinct + (ends > 0)
@@ -360,6 +361,9 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, states: int = STATE
     base, rare_total = math.log10(n + v + 1), math.log10(rare_c + rare_v + 1)
     schema = "doc_id long, held_out boolean, rid long, n_tokens long, n_known long, base double, rare double, ids binary, strange array<long>"
     coded = save(docs.mapInArrow(_encode(vocab, base, ends, rare_total, not whole), schema), "hmm-symbols")
+    vocab.destroy()
+    if whole:
+        drop(words)
 
     unigram = np.concatenate([[ends + 1, rare_c + 1], best_c + 1.0])
     unigram /= unigram.sum()
@@ -368,7 +372,8 @@ def score(docs: DataFrame, held_out: Column, top: int = TOP, states: int = STATE
     for _ in range(START_PASSES + passes):
         shared = spark.sparkContext.broadcast(model)
         run, cols = _expect(shared, states)
-        got = training.mapInPandas(run, cols).groupBy("symbol").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(states))).toArrow()
+        with shuffles_removed(spark):
+            got = training.mapInPandas(run, cols).groupBy("symbol").agg(*(F.sum(f"c{j}").alias(f"c{j}") for j in range(states))).toArrow()
         counts = np.zeros((1 + states + len(unigram), states))
         at = got["symbol"].to_numpy() + 1 + states
         for j in range(states):

@@ -1,6 +1,7 @@
 import math
 from collections import Counter
 from itertools import product
+from pathlib import Path
 from zlib import crc32
 
 import numpy as np
@@ -111,6 +112,26 @@ def test_every_pass_reads_every_training_text(spark, sf):
     assert got.keys() == want.keys() and all(got[d] == pytest.approx(want[d], rel=1e-6) for d in want)
 
 
+def test_passes_leave_no_files_to_later_ones(spark, sf, monkeypatch):
+    """Each pass begins without the shuffle files of those before it, and without the counts that only the encoding reads."""
+    dirs = list(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs())
+    kept = lambda: {f.name.split("_")[1] for d in dirs for f in Path(str(d)).rglob("shuffle_*")}
+    first, left, dropped, expect, drop = [], [], [], hmm._expect, hmm.drop
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+
+    def watched(model, states):
+        first.extend([] if first else [kept()])
+        left.append(kept() - first[0])
+        return expect(model, states)
+
+    monkeypatch.setattr(hmm, "_expect", watched)
+    monkeypatch.setattr(hmm, "drop", lambda *t: (dropped.extend(t), drop(*t)))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(40)
+    assert score(docs, id_crc("doc_id", 7) == 2, passes=0).count() == 40
+    assert left == [set()] * hmm.START_PASSES and [t.columns for t in dropped] == [["hash", "c"]] and spark.conf.get(name, None) == before
+
+
 def test_query_counts_and_base(spark, sf):
     docs = {r.doc_id: (r.text or "").encode().lower().split() for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
     c, train = Counter(), [d for d in docs if crc32(str(d).encode()) % 7 != 2]
