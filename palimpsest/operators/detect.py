@@ -46,9 +46,9 @@ _GROUPS = re.compile(r"[^\W_]+")
 
 
 class Scanner:
-    """All recognisers of a configuration, compiled once per worker."""
+    """All recognisers of a configuration, or those named in `only`, compiled once per worker."""
 
-    def __init__(self, config: Config, layer: Layer | None = None):
+    def __init__(self, config: Config, layer: Layer | None = None, only: tuple[str, ...] | None = None):
         self.config, self.layer = config, layer
         luhn = lambda t: checksums.is_luhn(checksums.digits_of(t))
         siret = lambda t: luhn(t) and checksums.is_luhn(checksums.digits_of(t)[:9])
@@ -59,6 +59,7 @@ class Scanner:
         self.rules = [(name, kind, None, regex.compile(p), valid.get(name)) for name, kind, p in patterns.ORDER]
         self.rules += [("custom", CUSTOM, p.name, regex.compile(translate(p.regex)), None) for p in config.patterns]
         self.rules += [("denylist", t.kind, t.custom, regex.compile(t.pattern), None) for t in config.denylist]
+        self.rules = [r for r in self.rules if only is None or r[0] in only]
 
     def may(self, text: str) -> set[str]:
         """Recognisers that a text can hold anything for, by tests that cost far less than the patterns."""
@@ -121,15 +122,15 @@ def parts(candidate: str, valid: Callable[[str], bool]) -> Iterator[tuple[int, i
 
 
 @lru_cache(maxsize=8)
-def scanner(config: Config, layer: Layer | None = None) -> Scanner:
-    return Scanner(config, layer)
+def scanner(config: Config, layer: Layer | None = None, only: tuple[str, ...] | None = None) -> Scanner:
+    return Scanner(config, layer, only)
 
 
-def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None) -> DataFrame:
-    """docs with a column of the spans of one of its text columns, in the order of emission; a null text has none."""
+def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """docs with a column of the spans of one of its text columns, in the order of emission; a null text has none. only: names of recognisers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scanner(config, layer)
+        find = scanner(config, layer, only)
         names = SPAN.fieldNames()
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("byte_len", pa.int32()), ("kind", pa.string()), ("custom", pa.string()), ("specificity", pa.int32()), ("text", pa.string()), ("confidence", pa.float32()), ("ord", pa.int32())]))
         for b in batches:

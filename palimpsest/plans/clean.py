@@ -25,10 +25,13 @@ BROADCAST_SPANS = 1_000_000
 SECRET = ("norm", "value")
 
 
-def spans(docs: DataFrame, config: Config, id: str = "doc_id", text: str = "text", layer: Layer | None = None) -> DataFrame:
-    """One row per disjoint span: id, ord (place among the document's), start, end, kind, custom, tag, norm, value."""
+def spans(docs: DataFrame, config: Config, id: str = "doc_id", text: str = "text", layer: Layer | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
+    """One row per disjoint span: id, ord (place among the document's), start, end, kind, custom, tag, norm, value.
+
+    only: names of the recognisers whose spans are found and settled among themselves; all of them by default.
+    """
     few = spread(docs.select(id, text))
-    found = detect(few, config, text, "spans", layer).where(F.size("spans") > 0).select(id, resolve(F.col("spans")).alias("spans"))
+    found = detect(few, config, text, "spans", layer, only).where(F.size("spans") > 0).select(id, resolve(F.col("spans")).alias("spans"))
     each = found.select(id, F.posexplode("spans").alias("nth", "s")).select(id, "nth", "s.start", "s.end", "s.kind", "s.custom", F.col("s.text").alias("value"))
     return each.withColumn("tag", tag(F.col("kind"), F.col("custom"))).withColumn("norm", normalise(F.col("kind"), F.col("value")))
 
