@@ -83,7 +83,30 @@ def drop(*tables: DataFrame | None) -> None:
             _remove(t.sparkSession, path)
 
 
+#: Rows of a task that reads or searches texts row by row, about; beyond, there are more tasks.
+TASK_ROWS = 50_000
+
+
+def _scanned(df: DataFrame) -> bool:
+    """Whether df is files' rows with expressions only, so that they are counted by footers alone."""
+    plans = [df._jdf.queryExecution().optimizedPlan()]
+    while plans:
+        p = plans.pop()
+        if p.nodeName() not in ("Project", "LogicalRelation") and not p.nodeName().startswith("Relation"):
+            return False
+        plans += [p.children().apply(k) for k in range(p.children().size())]
+    return True
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """At least as many partitions as cores, for tables of few files; the scan's own splitting otherwise."""
+    """At least as many partitions as cores, and none with many more rows than TASK_ROWS or than others; the scan's own splitting where it gives that.
+
+    Splits of a file aren't its rows: all of a row group are read by one of them.
+    """
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    if not _scanned(df):
+        return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+    each = [r["count"] for r in df.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()]
+    most, total = max(each, default=0), sum(each)
+    want = max(n, -(-total // TASK_ROWS))
+    return df if len(each) >= n and most * want <= 2 * total or len(each) >= want and most <= TASK_ROWS else df.repartition(want)

@@ -242,3 +242,18 @@ def test_streams(spark, tmp_path):
     clean_json_stream(spark, str(tmp_path / "j"), CONFIG, store, str(tmp_path / "jo"), str(tmp_path / "jc")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "jo")).collect()
     assert sorted(str(r.payload) for r in got) == ["None", '{"k": "[[EMAIL_2]]"}', '{"k": "[[EMAIL_2]]"}'] and [r.error for r in got if r.error] == ["not valid JSON"]
+
+
+def test_mail_headers_are_parsed_once(monkeypatch):
+    """The library parses a header again each time its value is asked for."""
+    from email import headerregistry
+
+    from palimpsest.sources.readers import mail
+
+    parsed, parse = [], headerregistry.ContentTypeHeader.parse.__func__
+    monkeypatch.setattr(headerregistry.ContentTypeHeader, "parse", classmethod(lambda cls, value, kwds: (parsed.append(value), parse(cls, value, kwds))[1]))
+    long = "x" * 1_000
+    for k in range(3):
+        m = f'From: A <a{k}@b.example>\r\nContent-Type: multipart/mixed; boundary="once"\r\n\r\n--once\r\nContent-Type: text/plain; odd=once\r\n\r\nhi {k}\r\n--once\r\nContent-Type: a/{long}\r\n\r\n-\r\n--once--\r\n'
+        assert mail.eml(m.encode()) == f"From: A <a{k}@b.example>\nAttachment: unnamed (a/{long})\n\nhi {k}\n"
+    assert len([v for v in parsed if len(v) <= 1_000]) == 2
