@@ -8,9 +8,11 @@ in Python and not a chain of expressions. Each text passes cheap tests first, so
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame
@@ -19,7 +21,7 @@ from pyspark.sql import types as T
 
 from palimpsest.config import Config, translate
 from palimpsest.functions import checksums, patterns
-from palimpsest.functions.kinds import CUSTOM, RANKS
+from palimpsest.functions.kinds import CUSTOM, RANKS, SPACE
 from palimpsest.functions.phone import is_phone
 
 #: start and end count characters; byte_len is the UTF-8 length by which the longer of two spans is told.
@@ -42,6 +44,8 @@ Layer = Callable[[str], list[tuple[int, int, str, str | None, float]]]
 
 _LONG_DIGITS = re.compile(r"\d(?:[^\w\n]{0,3}\d){6}")
 _DIGIT = re.compile(r"\d")
+#: What any IBAN, street or postcode holds at least.
+_COUNTRY, _SPACE, _CAPITAL = re.compile(r"[^\W\d_]{2}\d\d"), re.compile(f"[{SPACE}]"), re.compile("[A-ZÀ-Þ]")
 _GROUPS = re.compile(r"[^\W_]+")
 
 
@@ -69,7 +73,12 @@ class Scanner:
         if text.count(":") >= 2:
             out.add("ipv6")
         if _DIGIT.search(text):
-            out.update(("iban", "street", "postcode"))
+            if _COUNTRY.search(text):
+                out.add("iban")
+            if _SPACE.search(text):
+                out.add("street")
+            if _CAPITAL.search(text):
+                out.add("postcode")
             if text.count(".") >= 3:
                 out.add("ipv4")
             if _LONG_DIGITS.search(text):
@@ -87,7 +96,7 @@ class Scanner:
         out = []
         for n, (i, j, kind, custom, confidence) in enumerate(found):
             value = text[i:j]
-            if not self.config.allows(value):
+            if not (self.config.allowlist and self.config.allows(value)):
                 out.append((i, j, len(value.encode("utf-8", "surrogatepass")), kind, custom, RANKS[kind], value, confidence, n))
         return out
 
@@ -126,17 +135,43 @@ def scanner(config: Config, layer: Layer | None = None, only: tuple[str, ...] |
     return Scanner(config, layer, only)
 
 
-def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None, only: tuple[str, ...] | None = None) -> DataFrame:
-    """docs with a column of the spans of one of its text columns, in the order of emission; a null text has none. only: names of recognisers."""
+def settled(spans: list[tuple]) -> list[tuple]:
+    """What resolve makes of a text's spans, by start: the longest wins, then the most specific, the surest and the first."""
+    if len(spans) < 2:
+        return [s for s in spans if s[1] > s[0]]
+    starts, kept = [], []
+    for s in sorted((s for s in spans if s[1] > s[0]), key=lambda s: (-s[2], -s[5], -float(np.float32(s[7])), s[0], s[8])):
+        k = bisect(starts, s[0])
+        if (k == 0 or kept[k - 1][1] <= s[0]) and (k == len(kept) or s[1] <= kept[k][0]):
+            starts.insert(k, s[0])
+            kept.insert(k, s)
+    return kept
+
+
+_ARROW = (pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int32(), pa.string(), pa.float32(), pa.int32())
+
+
+def _listed(found: list[list[tuple]]) -> pa.Array:
+    """Spans of several texts as an array of lists, built by columns."""
+    ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
+    fields = zip(*(s for spans in found for s in spans), strict=True) if ends[-1] else ((),) * len(_ARROW)
+    columns = [pa.array(c, t) for c, t in zip(fields, _ARROW, strict=True)]
+    return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, SPAN.fieldNames()))
+
+
+def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None, only: tuple[str, ...] | None = None, settle: bool = False) -> DataFrame:
+    """docs with a column of the spans of one of its text columns, in the order of emission; a null text has none.
+
+    only: names of recognisers. settle: no spans that overlap, by start, as resolve leaves them.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = scanner(config, layer, only)
-        names = SPAN.fieldNames()
-        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("byte_len", pa.int32()), ("kind", pa.string()), ("custom", pa.string()), ("specificity", pa.int32()), ("text", pa.string()), ("confidence", pa.float32()), ("ord", pa.int32())]))
+        find = scanner(config, layer, only).spans
+        each = (lambda t: settled(find(t))) if settle else find
         for b in batches:
-            texts = b.column(b.schema.get_field_index(text)).to_pylist()
-            spans = pa.array([[dict(zip(names, s, strict=True)) for s in find.spans(t)] if t else [] for t in texts], kind)
-            yield pa.RecordBatch.from_arrays([*b.columns, spans], [*b.schema.names, out])
+            texts = b.column(b.schema.get_field_index(text))
+            found = [each(t) if (t := x.as_py()) else [] for x in texts]
+            yield pa.RecordBatch.from_arrays([*b.columns, _listed(found)], [*b.schema.names, out])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, SPANS)]))
 

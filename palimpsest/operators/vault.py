@@ -36,17 +36,17 @@ class VaultError(RuntimeError):
 def number(values: DataFrame, taken: DataFrame | None = None) -> DataFrame:
     """values (tag, norm, ord, ...) with seq: 1, 2, ... within each tag by ord, after the largest that `taken` (tag, seq) holds.
 
-    values has one row per (tag, norm). ord orders all of them.
+    values has one row per (tag, norm), or per (tag, key) where it has a keyed hash of both instead. ord orders all of them.
     """
-    hidden = [c for c in ("norm", "value") if c in values.columns]
-    laid = save(values.repartitionByRange("tag", "ord", "norm").withColumn("__part", F.spark_partition_id()), "vault-order", hidden)
+    hidden, last = [c for c in ("norm", "value") if c in values.columns], "norm" if "norm" in values.columns else "key"
+    laid = save(values.repartitionByRange("tag", "ord", last).withColumn("__part", F.spark_partition_id()), "vault-order", hidden)
     counts = laid.groupBy("tag", "__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.sum("__n").over(W.partitionBy("tag").orderBy("__part")) - F.col("__n")).drop("__n")
     if taken is not None:
         before = before.join(taken.groupBy("tag").agg(F.max("seq").alias("__top")), "tag", "left")
     else:
         before = before.withColumn("__top", F.lit(0))
-    own = F.row_number().over(W.partitionBy("tag", "__part").orderBy("ord", "norm"))
+    own = F.row_number().over(W.partitionBy("tag", "__part").orderBy("ord", last))
     out = laid.withColumn("__own", own).join(before, ["tag", "__part"])
     return out.withColumn("seq", (F.col("__own") + F.col("__before") + F.coalesce("__top", F.lit(0))).cast("long")).drop("__own", "__before", "__top", "__part")
 
@@ -114,14 +114,14 @@ class Vault:
         return values.crossJoin(self.keys.select("k_in", "k_out")).withColumn("index_hash", self._hash()).drop("k_in", "k_out")
 
     def allocate(self, values: DataFrame) -> DataFrame:
-        """tag, norm, seq of every value of values (tag, norm, value, ord), old and new; new ones are sealed and stored.
+        """tag, norm, seq of every value of values (tag, norm, value, ord), old and new; new ones are sealed and stored. A column key stays.
 
-        values may repeat; the first spelling by ord is the one that is stored. Nothing is visible before all is written.
+        values may repeat, unless they have a column key; the first spelling by ord is the one that is stored. Nothing is visible before all is written.
         """
         with self.locked():
-            wanted = save(self.hashed(firsts(values)), "vault-wanted", ("norm", "value"))
+            wanted = save(self.hashed(values if "key" in values.columns else firsts(values)), "vault-wanted", ("norm", "value"))
             known = self.mappings().select("index_hash", "seq")
-            new = wanted.join(known.select("index_hash"), "index_hash", "left_anti")
+            new = wanted.drop("key").join(known.select("index_hash"), "index_hash", "left_anti")
             if not new.isEmpty():
                 numbered = number(new, self.mappings().select("tag", "seq")).crossJoin(self.keys.select("k_seal"))
                 nonce = F.unhex(F.substring(F.sha2(F.concat(F.uuid(), F.uuid()), 256), 1, 24))
@@ -130,7 +130,7 @@ class Vault:
                 sealed.select("tag", "seq", "index_hash", "nonce", "ciphertext", F.current_timestamp().alias("created_at")).write.parquet(f"file://{self.folder.resolve()}/{name}")
                 self.check([*self.batches(), name])
                 self._commit([*self.batches(), name])
-            return wanted.join(self.mappings().select("index_hash", "seq"), "index_hash").select("tag", "norm", "seq")
+            return wanted.join(self.mappings().select("index_hash", "seq"), "index_hash").select(*(c for c in ("tag", "norm", "key", "seq") if c in (*wanted.columns, "seq")))
 
     def check(self, batches: list[str] | None = None) -> None:
         """Raises unless hashes are unique and so are numbers within a tag; no batch becomes visible that would break this."""
@@ -144,8 +144,12 @@ class Vault:
         m = self.mappings().select("tag", "seq", "ciphertext")
         if asked is not None:
             m = m.join(asked.select("tag", "seq").distinct(), ["tag", "seq"], "left_semi")
-        opened = F.aes_decrypt(F.col("ciphertext"), F.col("k_seal"), F.lit("GCM"), F.lit("DEFAULT"), self._bound())
-        return m.crossJoin(self.keys.select("k_seal")).select("tag", "seq", F.decode(opened, "UTF-8").alias("value"))
+        return self.opened(m).select("tag", "seq", "value")
+
+    def opened(self, sealed: DataFrame) -> DataFrame:
+        """Rows with tag, seq and ciphertext, which may be null, with the value in place of the ciphertext."""
+        value = F.aes_decrypt(F.col("ciphertext"), F.col("k_seal"), F.lit("GCM"), F.lit("DEFAULT"), self._bound())
+        return sealed.crossJoin(self.keys.select("k_seal")).withColumn("value", F.decode(value, "UTF-8")).drop("k_seal", "ciphertext")
 
     def purge(self) -> int:
         """Forgets everything and returns how many mappings that were; numbering starts anew."""

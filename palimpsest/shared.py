@@ -56,22 +56,37 @@ def _keyed(df: DataFrame) -> DataFrame:
     return df.crossJoin(F.broadcast(spark.createDataFrame([(bytearray(key),)], "__key binary")))
 
 
-def save(df: DataFrame, name: str, sealed: Sequence[str] = ()) -> DataFrame:
+def keyed_hash(df: DataFrame, columns: Sequence[str], out: str) -> DataFrame:
+    """df with the HMAC-SHA-256 of text columns under that key: equal where all of them are, and of no use without the key."""
+    spark = df.sparkSession
+    pad = _KEYS.setdefault(spark.sparkContext.applicationId, secrets.token_bytes(32)).ljust(64, b"\0")
+    pads = (bytearray(b ^ 0x36 for b in pad), bytearray(b ^ 0x5C for b in pad))
+    message = F.concat_ws("\x01", *columns).cast("binary")
+    inner = F.unhex(F.sha2(F.concat(F.col("__k_in"), message), 256))
+    keys = F.broadcast(spark.createDataFrame([pads], "__k_in binary, __k_out binary"))
+    return df.crossJoin(keys).withColumn(out, F.unhex(F.sha2(F.concat(F.col("__k_out"), inner), 256))).drop("__k_in", "__k_out")
+
+
+def opened(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """df with columns opened that save has sealed and left so."""
+    return _keyed(df).withColumns({c: F.decode(F.aes_decrypt(F.col(c), F.col("__key")), "UTF-8") for c in columns}).drop("__key")
+
+
+def save(df: DataFrame, name: str, sealed: Sequence[str] = (), open: bool = True) -> DataFrame:
     """Writes df to the shared folder and reads it back: later jobs neither repeat its work nor depend on one executor.
 
     The text columns named in `sealed` lie there encrypted (AES-256-GCM) under a key that only this driver's memory and
-    its running tasks hold; they are opened as they are read.
+    its running tasks hold; they are opened as they are read, or, where `open` is false, by opened().
     """
     spark = df.sparkSession
     path = f"{_run_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    stored, opened = df, None
+    stored = df
     if sealed:
         stored = _keyed(df).withColumns({c: F.aes_encrypt(F.encode(c, "UTF-8"), F.col("__key")) for c in sealed}).select(df.columns)
     stored.write.option("compression", "zstd").parquet(path)
     back = spark.read.schema(stored.schema).parquet(path)
-    if sealed:
-        opened = {c: F.decode(F.aes_decrypt(F.col(c), F.col("__key")), "UTF-8") for c in sealed}
-        back = _keyed(back).withColumns(opened).select(df.columns)
+    if sealed and open:
+        back = opened(back, sealed).select(df.columns)
     setattr(back, _PATH, path)
     return back
 

@@ -242,3 +242,58 @@ def test_spread_looks_at_rows(spark, tmp_path):
         assert shared.spread(got := spark.range(0, 40, 1, 8)) is got
     finally:
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_spans_are_kept_without_their_values(spark):
+    """Without a vault nothing needs the values again, sealed or not; with one, a value is opened once, not for each span."""
+    from palimpsest.plans import clean as plans
+
+    docs = spark.createDataFrame([(k, f"to a{k % 2}@b.example or A{k % 2}@b.example") for k in range(6)], "doc_id long, text string")
+    found = plans._saved(plans.spans(docs, FR), "doc_id", False)
+    assert not {"norm", "value", "kind"} & set(found.columns) and found.select("key").distinct().count() == 2 and found.count() == 12
+    assert [tuple(r) for r in plans.numbered(found, "doc_id").select("tag", "seq").orderBy("seq").collect()] == [("EMAIL", 1), ("EMAIL", 2)]
+    plan = plans._first_spellings(plans._saved(plans.spans(docs, FR), "doc_id", True).withColumn("ord", F.struct("doc_id", "nth")))
+    assert sorted((r.norm, r.value) for r in plan.collect()) == [("a0@b.example", "a0@b.example"), ("a1@b.example", "a1@b.example")]
+
+
+def test_settled_is_resolve(spark):
+    """What the scan settles is what the column function does."""
+    import random
+
+    from pyspark.sql import types as T
+
+    from palimpsest.operators.detect import SPANS, settled
+    from palimpsest.operators.resolve import resolve
+
+    r = random.Random(5)
+    cases = []
+    for k in range(300):
+        starts = [r.randrange(40) for _ in range(r.choice([0, 1, 2, 3, 6, 20]))]
+        ends = [a + r.randrange(9) for a in starts]
+        cases.append((k, [(a, b, b - a, "email", None, r.choice([1, 5]), "t", r.choice([1.0, 0.5, 0.1, 0.1 + 1e-12]), n) for n, (a, b) in enumerate(zip(starts, ends, strict=True))]))
+    t = spark.createDataFrame(cases, T.StructType([T.StructField("k", T.IntegerType()), T.StructField("s", SPANS)]))
+    got = {x.k: [(y.start, y.end, y.ord) for y in x.s] for x in t.select("k", resolve(F.col("s")).alias("s")).collect()}
+    assert got == {k: [(x[0], x[1], x[8]) for x in settled(s)] for k, s in cases}
+
+
+def test_json_is_parsed_once_to_be_written(monkeypatch):
+    from palimpsest.plans import tools
+
+    parsed = []
+    monkeypatch.setattr(tools.json, "loads", lambda p, loads=tools.json.loads: (parsed.append(p), loads(p))[1])
+    assert tools._written('{"a": ["x", 1, "y"], "y": "z"}', [1, 2], ["Y", "Z"]) == '{"a": ["x", 1, "Y"], "y": "Z"}' and len(parsed) == 1
+    assert tools._written("[1,2]", None, None) == "[1, 2]" and tools._written("no", None, None) is None and tools._written(None, None, None) is None
+
+
+def test_restored_json_takes_marked_strings_alone(spark, tmp_path):
+    """Strings without placeholders aren't read once more, and no value is opened before it has been looked up."""
+    from palimpsest.plans.tools import clean_json, restore_json
+
+    store = Vault(spark, tmp_path / "v", tmp_path / "k")
+    given = ['{"to": ["a@b.example", "none", "c@d.example a@b.example"], "n": 1}', '["[[EMAIL_9]]", "x"]', '"plain"', "no JSON", None]
+    rows_ = spark.createDataFrame(list(enumerate(given)), "id int, payload string")
+    cleaned = clean_json(rows_, FR, store)
+    assert cleaned.where("id = 0").first().payload == '{"to": ["[[EMAIL_1]]", "none", "[[EMAIL_2]] [[EMAIL_1]]"], "n": 1}'
+    back = restore_json(cleaned, store)
+    assert [r.payload for r in back.orderBy("id").collect()] == [*given[:3], None, None]
+    assert "Union" not in back._jdf.queryExecution().toString()
