@@ -19,6 +19,7 @@ from palimpsest.config import Config
 from palimpsest.functions.text import PLACEHOLDER
 from palimpsest.operators.vault import Vault
 from palimpsest.plans.clean import clean, restore
+from palimpsest.shared import spread
 
 #: What is said instead of a result that couldn't be cleaned, or of an input that couldn't be restored. Never the reason.
 WITHHELD = "The tool result was withheld: it could not be cleaned."
@@ -46,41 +47,46 @@ def put(value: Any, new: Callable[[], str]) -> Any:
     return {k: put(v, new) for k, v in value.items()} if isinstance(value, dict) else value
 
 
-def _strings(payload: str | None) -> list[str] | None:
-    """All strings of a JSON text; None where it is no JSON."""
+def _parsed(payload: str | None) -> tuple[Any, list[str] | None]:
+    """A JSON text's value and all its strings; no strings where it is no JSON."""
     out: list[str] = []
     try:
-        strings(json.loads(payload), out)
+        value = json.loads(payload)
+        strings(value, out)
     except (TypeError, ValueError, RecursionError):
-        return None
-    return out
+        return None, None
+    return value, out
 
 
-def _written(payload: str | None, new: Iterable[str] | None, read: Iterable[str] | None) -> str | None:
-    if read is None:
+def _written(payload: str | None, nth: Iterable[int] | None, new: Iterable[str] | None) -> str | None:
+    """The payload with its strings of some places replaced."""
+    value, own = _parsed(payload)
+    if own is None:
         return None
-    return json.dumps(put(json.loads(payload), iter([] if new is None else new).__next__), ensure_ascii=False)
+    for n, text in zip(() if nth is None else nth, () if new is None else new, strict=True):
+        own[n] = text
+    return json.dumps(put(value, iter(own).__next__), ensure_ascii=False)
 
 
 def _rows(payloads: DataFrame, column: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """Strings of JSON payloads (id, column) as (id, nth, doc_id, text), and how rewritten ones go back into them.
+    """Strings of JSON payloads (id, column) as (id, nth, doc_id, text), and how those that were rewritten go back into them.
 
     A payload that is no JSON has no strings and comes back as null: what can't be read is never handed on.
     """
 
     @F.pandas_udf("array<string>")
     def read(j: pd.Series) -> pd.Series:
-        return j.map(_strings)
+        return j.map(lambda p: _parsed(p)[1])
 
     @F.pandas_udf("string")
-    def write(j: pd.Series, new: pd.Series) -> pd.Series:
-        return pd.Series([_written(p, n, _strings(p)) for p, n in zip(j, new, strict=True)], dtype=object)
+    def write(j: pd.Series, nth: pd.Series, new: pd.Series) -> pd.Series:
+        return pd.Series([_written(*x) for x in zip(j, nth, new, strict=True)], dtype=object)
 
-    texts = payloads.select("id", F.posexplode(read(column)).alias("nth", "text")).withColumn("doc_id", F.struct("id", "nth"))
+    texts = spread(payloads.select("id", column)).select("id", F.posexplode(read(column)).alias("nth", "text")).withColumn("doc_id", F.struct("id", "nth"))
 
     def back(done: DataFrame) -> DataFrame:
-        each = done.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("nth", "text"))), lambda x: x["text"]).alias("s"))
-        return payloads.join(each, "id", "left").withColumn(column, write(column, "s")).drop("s")
+        each = done.groupBy("id").agg(F.collect_list(F.struct("nth", "text")).alias("s"))
+        return payloads.join(each, "id", "left").withColumn(column, write(column, F.col("s.nth"), F.col("s.text"))).drop("s")
 
     return texts, back
 
@@ -88,12 +94,12 @@ def _rows(payloads: DataFrame, column: str) -> tuple[DataFrame, Callable[[DataFr
 def clean_json(payloads: DataFrame, config: Config, store: Vault | None = None, column: str = "payload") -> DataFrame:
     """payloads (id, column of JSON) with every string cleaned. Ids are unique. A payload that is no JSON becomes null."""
     texts, back = _rows(payloads, column)
-    return back(clean(texts, config, store))
+    return back(clean(texts, config, store).where("replaced > 0"))
 
 
 def restore_json(payloads: DataFrame, store: Vault, column: str = "payload") -> DataFrame:
     texts, back = _rows(payloads, column)
-    return back(restore(texts, store))
+    return back(restore(texts, store, marked=True))
 
 
 def reply_after(spark: SparkSession, message: str, config: Config, store: Vault) -> str | None:
