@@ -49,6 +49,10 @@ _COUNTRY, _SPACE, _CAPITAL = re.compile(r"[^\W\d_]{2}\d\d"), re.compile(f"[{SPAC
 _GROUPS = re.compile(r"[^\W_]+")
 
 
+#: Rows that are handed back at a time: what a worker holds besides a batch doesn't grow with the batch.
+SLICE = 1_000
+
+
 class Scanner:
     """All recognisers of a configuration, or those named in `only`, compiled once per worker."""
 
@@ -159,21 +163,25 @@ def _listed(found: list[list[tuple]]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(columns, SPAN.fieldNames()))
 
 
-def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None, only: tuple[str, ...] | None = None, settle: bool = False) -> DataFrame:
+def detect(docs: DataFrame, config: Config, text: str = "text", out: str = "spans", layer: Layer | None = None, only: tuple[str, ...] | None = None, settle: bool = False, keep: tuple[str, ...] | None = None) -> DataFrame:
     """docs with a column of the spans of one of its text columns, in the order of emission; a null text has none.
 
-    only: names of recognisers. settle: no spans that overlap, by start, as resolve leaves them.
+    only: names of recognisers. settle: no spans that overlap, by start, as resolve leaves them. keep: the columns of docs that are
+    handed on, all by default; texts that nothing reads again need not travel back.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = scanner(config, layer, only).spans
         each = (lambda t: settled(find(t))) if settle else find
-        for b in batches:
-            texts = b.column(b.schema.get_field_index(text))
-            found = [each(t) if (t := x.as_py()) else [] for x in texts]
-            yield pa.RecordBatch.from_arrays([*b.columns, _listed(found)], [*b.schema.names, out])
-
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, SPANS)]))
+        for whole in batches:
+            for at in range(0, whole.num_rows, SLICE):
+                b = whole.slice(at, SLICE)
+                texts = b.column(b.schema.get_field_index(text))
+                found = [each(t) if (t := x.as_py()) else [] for x in texts]
+                yield pa.RecordBatch.from_arrays([*(b.column(b.schema.get_field_index(c)) for c in kept), _listed(found)], [*kept, out])
+
+    kept = docs.columns if keep is None else [c for c in docs.columns if c in keep]
+    return docs.mapInArrow(run, T.StructType([*(f for f in docs.schema.fields if f.name in kept), T.StructField(out, SPANS)]))
 
 
 def native_matches(text: Column, pattern: str, kind: str, custom: str | None = None) -> Column:

@@ -30,7 +30,7 @@ def spans(docs: DataFrame, config: Config, id: str = "doc_id", text: str = "text
     only: names of the recognisers whose spans are found and settled among themselves; all of them by default.
     """
     few = spread(docs.select(id, text))
-    found = detect(few, config, text, "spans", layer, only, settle=True).where(F.size("spans") > 0)
+    found = detect(few, config, text, "spans", layer, only, settle=True, keep=(id,)).where(F.size("spans") > 0)
     each = found.select(id, F.posexplode("spans").alias("nth", "s")).select(id, "nth", "s.start", "s.end", "s.kind", "s.custom", F.col("s.text").alias("value"))
     return each.withColumn("tag", tag(F.col("kind"), F.col("custom"))).withColumn("norm", normalise(F.col("kind"), F.col("value")))
 

@@ -297,3 +297,19 @@ def test_restored_json_takes_marked_strings_alone(spark, tmp_path):
     back = restore_json(cleaned, store)
     assert [r.payload for r in back.orderBy("id").collect()] == [*given[:3], None, None]
     assert "Union" not in back._jdf.queryExecution().toString()
+
+
+def test_detection_hands_back_slices_without_texts(spark, monkeypatch):
+    """A worker holds a batch and the spans of a slice of it; texts that nothing reads again stay where they are."""
+    from palimpsest.operators import detect as d
+
+    docs = spark.range(2_500).select(F.col("id").alias("doc_id"), F.concat(F.lit("to a"), F.col("id").cast("string"), F.lit("@b.example")).alias("text")).coalesce(1)
+    sent = {}
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda df, run, schema: sent.update(run=run, names=schema.fieldNames()) or df)
+    d.detect(docs, FR, keep=("doc_id",))
+    import pyarrow as pa
+
+    whole = pa.RecordBatch.from_pydict({"doc_id": list(range(2_500)), "text": [f"to a{k}@b.example" for k in range(2_500)]})
+    out = list(sent["run"](iter([whole])))
+    assert sent["names"] == ["doc_id", "spans"] == out[0].schema.names and [b.num_rows for b in out] == [1_000, 1_000, 500]
+    assert [(i, s[0]["text"]) for b in out for i, s in zip(*b.to_pydict().values(), strict=True)] == [(k, f"a{k}@b.example") for k in range(2_500)]
